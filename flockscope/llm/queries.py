@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan
+from . import license_scan, mixing, quality_forest, secret_scan, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op6_quality_forest": quality_forest.op6_quality_forest,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
