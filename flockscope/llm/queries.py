@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, quality_forest, secret_scan, toxicity
+from . import embedding_dedup, license_scan, mixing, packing, quality_forest, secret_scan, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_quality_forest": quality_forest.op6_quality_forest,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
