@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from . import common, texts
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 SLICE = 512
 _WORKER: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
@@ -60,15 +61,23 @@ def encode(values: list[bytes | None], path: str) -> list[bytes]:
     """Each text's ids, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and matches nothing across it, so a text's ids are
-    those of its words in turn; each distinct word of a batch is encoded once.
+    those of its words in turn.  It lowers case, and a full stop or comma after a letter
+    is a match of its own; so each distinct lower-case word is encoded once without it.
     """
     tokenizer, known = _loaded(path)
-    words = [(v or b"").split() for v in values]
-    new = list({w for ws in words for w in ws if w not in known})
+    # a special token's name counts only as it is written
+    words = [(v if b"<|" in v else v.lower()).split() if v else [] for v in values]
+    fresh = {w for ws in words for w in ws if w not in known}
+    stems = {w: w[:-1] for w in fresh if w[-1] in b".," and w[:-1].decode().lower().isalpha()}
+    new = list({stems.get(w, w) for w in fresh} - known.keys())
     for at in range(0, len(new), 8192):
         part = new[at : at + 8192]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            known[w] = array("I", e.ids).tobytes()
+    if stems:
+        marks = {m: array("I", tokenizer.encode(chr(m), add_special_tokens=False).ids).tobytes() for m in b".,"}
+        for w, stem in stems.items():
+            known[w] = known[stem] + marks[w[-1]]
     out = [b"".join(map(known.__getitem__, ws)) for ws in words]
     if len(known) > REMEMBERED:
         known.clear()
