@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, license_scan, mixing, packing, quality_forest, secret_scan, toxicity
+from . import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_forest, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_quality_forest": quality_forest.op6_quality_forest,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE = {
