@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, license_scan, mixing, ngram_join, packing, quality_forest, secret_scan, substring_dedup, toxicity
+from . import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality_forest, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
