@@ -1,0 +1 @@
+"""Coordinated-influence analytics on PySpark."""

@@ -1,0 +1 @@
+"""The reference queries by name."""
