@@ -1,4 +1,4 @@
 """Importing this registers every query of the engine."""
 
-from flockscope.plans import ingest_queries, signal_queries  # noqa: F401
+from flockscope.plans import ingest_queries, investigation_queries, signal_queries  # noqa: F401
 from flockscope.plans.catalog import ORACLE, QUERIES  # noqa: F401
