@@ -14,7 +14,7 @@ all counted by sums that are combined before they are shuffled.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer than
 ``least_tokens`` tokens stay; equal rows (same id and text) count as one document and are
-treated alike; rows with a null id come first in the order; an empty table gives an empty
+treated alike; rows with a null id come last in the order; an empty table gives an empty
 result; all columns of the input are kept, whatever their names.
 """
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, texts
 
@@ -109,7 +110,7 @@ def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least
                  .select("leaf", "line", F.xxhash64("leaf", "fixed").alias("template")))
     templates = common.materialize(templates, "line-templates")
     found = lines.join(templates, ["leaf", "line"]).select("template", "key", "doc_id", "places")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", F.array_min("places").alias("line"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", F.array_min("places").alias("line"))
     first = (found.groupBy("template", "key").agg(F.min(place).alias("first")).groupBy("template")
              .agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs))
     first = first.select(F.col("template").alias("_t"), F.col("first.key").alias("_key"), F.col("first.line").alias("_line"))
@@ -136,7 +137,7 @@ def dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float =
             cols = [pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
 
-    shape = docs.schema.add("_n_lines", "long").add("_n_dropped", "long")
+    shape = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     return joined.mapInArrow(run, shape)
 
 

@@ -1,0 +1,40 @@
+"""The registered queries over a whole small table, and the pipeline stage by stage."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from oracle import DATA, connection, same  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from flockscope.llm import common, ngram_join, queries, toxicity  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    same(queries.QUERIES[name](spark, DATA), connection(), queries.ORACLE[name])
+
+
+def test_all_are_registered():
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_pipeline(spark):
+    docs = common.table(spark, DATA, "documents")
+    names = docs.columns
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = common.materialize(stage(spark, docs, DATA), f"test-{name}")
+        seen[name] = docs.count()
+        if name != "packing":
+            assert docs.columns == names
+        if name == "toxicity":
+            toxic = toxicity.score(before, common.table(spark, DATA, "labels")).filter("predicted = 1").count()
+            assert seen[name] == before.count() - toxic > 0
+        if name == "ngram_join":
+            groups = ngram_join.join_sets(before, k=5, percent=80, sampled=0.24)
+            assert seen[name] == groups.select("component_id").distinct().count()
+    assert {r[0] for r in docs.groupBy("sequence_id").sum("length").select("sum(length)").collect()} <= set(range(1, 2049))
