@@ -11,18 +11,16 @@ the others by hash.  As the share exceeds that of a prefix, only sampled tokens
 few that fill up short prefixes need counting, and a set of which p tokens or more are in
 no other set is done with.
 
-Prefix tokens are indexed singly.  Of each posting list all members are verified against
-one leader, the set with fewest tokens of its own, which costs no more than the list's
-length and mostly joins a group of copies at once.  Members that are not in the leader's
-component can still link with each other.  With r = (100 - percent) / (100 + percent), sets
-x and y link when their difference has at most r * (|x| + |y|) tokens.  Let D(x) be the
-difference of x and the leader c; that of x and y has |D(x)| + |D(y)| - 2 |D(x) & D(y)|
-tokens, so members of two components that link share at least
-(|D(x)| - r * (|x| + |c|)) / 2 tokens of D if x is not linked with c, and
-(|D(x)| - r * (|x| - |c|)) / 2 if it is.  The same prefixes are therefore taken of the
-differences, under the leader's name: tokens that are rare among its members are indexed
-singly, frequent ones by combinations of two with the prefix extended by one; where a set
-may share only one token it is indexed both ways.  What meets in an index is verified.
+Prefix tokens are indexed singly.  Of each posting list all members are verified against a
+leader, the set with fewest tokens of its own, and those not in its component against a
+second one; that costs no more than the list's length and mostly joins a group of copies at
+once.  Lists that still span several components are resolved exactly: short ones (rare
+tokens) pair by pair between components, long ones (frequent tokens) by combinations of the
+token with each later one of the extended prefix, which spread the list over shorter ones.
+Sets x and y need o = ceil(percent * (|x| + |y|) / (100 + percent)) common tokens, so the first
+common one is at most at place |x| - o of x and |y| - o of y; a pair is only made where that
+holds, and a list in which no member's token is so early for a partner of its own size or
+more makes none.
 
 Equal sets are collapsed first.  Defined results: null and empty texts and texts without
 words have the empty set and link with nothing; fewer words than a shingle form one token;
@@ -96,30 +94,10 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.withColumn("linked", F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
 
 
-def difference_keys(groups: DataFrame, sets: DataFrame, percent: int, frequent: int) -> DataFrame:
-    """groups(a the leader, b, na, nb, linked, comp) to keys (a, t1, t2, b, nb, comp) that linked members of two components share."""
-    left = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
-    whole, part = 100 + percent, 100 - percent
-    diff = F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta"))
-    rows = groups.join(left, "a").join(right, "b").select("a", "b", "nb", "comp", diff.alias("d"), "linked", "na")
-    base = F.size("d") * whole - part * F.when(F.col("linked"), F.col("nb") - F.col("na")).otherwise(F.col("nb") + F.col("na"))
-    rows = rows.withColumn("least", F.greatest(F.ceil(base / (2 * whole)), F.lit(1)).cast("int"))
-    rows = common.materialize(rows.select("a", "b", "nb", "comp", "d", "least"), "ngram-differences")
-    posted = rows.select("a", "b", F.explode("d").alias("t"))
-    df = posted.groupBy("a", "t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = posted.join(df, ["a", "t"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-    one = rows.select("a", "b", "nb", "comp", "least", F.size("d").alias("n")).join(shared, ["a", "b"])
-    # tokens of its own come first in the order and are no keys
-    room = F.col("n") - F.col("least") + 1 - (F.col("n") - F.size("s"))
-    one = one.withColumn("room", room).filter("room > 0")
-    singly = lambda i, x: (i < F.col("room")) & ((x["df"] <= frequent) | (F.col("least") == 1))
-    singles = F.transform(F.filter("s", lambda x, i: singly(i, x)), lambda x: F.struct(x["t"].alias("t1"), F.lit(0).cast("long").alias("t2")))
-    first = F.slice("s", F.lit(1), F.col("room"))
-    longer = F.slice("s", F.lit(1), F.col("room") + 1)
-    combos = F.flatten(F.transform(F.filter(first, lambda x: x["df"] > frequent), lambda x: F.transform(
-        F.filter(longer, lambda y: y > x), lambda y: F.struct(x["t"].alias("t1"), y["t"].alias("t2")))))
-    return one.select("a", "b", "nb", "comp", F.explode(F.concat(singles, combos)).alias("k")).select("a", F.col("k.t1").alias("t1"), F.col("k.t2").alias("t2"), "b", "nb", "comp")
+def first_common(ax: str, nx: str, ay: str, ny: str, percent: int) -> Column:
+    """Whether a token at these places can be the first that sets of these sizes share, if they link."""
+    least = F.ceil((F.col(nx) + F.col(ny)) * percent / F.lit(100 + percent))
+    return (F.col(ax) <= F.col(nx) - least) & (F.col(ay) <= F.col(ny) - least)
 
 
 def near_sizes(x: str, y: str, percent: int) -> Column:
@@ -152,38 +130,60 @@ def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0
     ranked = near.withColumn("s0", F.filter("shared", lambda x: in_sample(x["token"])))
     tail = F.filter("shared", lambda x: ~in_sample(x["token"]))
     own = (F.col("held") - F.size("shared")).alias("own")
-    head_rows = ranked.select("rid", own, "prefix", F.posexplode(F.transform("s0", lambda x: x["token"])).alias("i", "token"), (F.col("n0") - F.size("s0")).alias("before"))
-    head_rows = head_rows.select("rid", "own", "prefix", "token", (F.col("before") + F.col("i")).alias("at"))
+    head_rows = ranked.select("rid", own, "n", "prefix", F.posexplode(F.transform("s0", lambda x: x["token"])).alias("i", "token"), (F.col("n0") - F.size("s0")).alias("before"))
+    head_rows = head_rows.select("rid", "own", "n", "prefix", "token", (F.col("before") + F.col("i")).alias("at"))
     # a place after the sampled ones is at least n0; counting only shared ones before it errs to the safe side
-    tail_rows = ranked.select("rid", own, "prefix", F.posexplode(F.transform(tail, lambda x: x["token"])).alias("i", "token"), "n0")
-    tail_rows = tail_rows.select("rid", "own", "prefix", "token", F.col("n0").alias("at"))
-    index = head_rows.unionByName(tail_rows).filter("at < prefix")
-    index = common.materialize(index.select("token", "rid", "own"), "ngram-index")
-    lead = F.min(F.struct("own", F.xxhash64("rid").alias("h"), "rid"))
-    lists = index.groupBy("token").agg(F.count(F.lit(1)).alias("size"), lead.alias("lead")).filter("size > 1").select("token", F.col("lead.rid").alias("a"))
-    stars = lists.join(index.select("token", F.col("rid").alias("b")), "token").filter(F.col("a") != F.col("b")).select("a", "b").distinct()
+    tail_rows = ranked.select("rid", own, "n", "prefix", F.posexplode(F.transform(tail, lambda x: x["token"])).alias("i", "token"), "n0")
+    tail_rows = tail_rows.select("rid", "own", "n", "prefix", "token", F.col("n0").alias("at"))
+    index = head_rows.unionByName(tail_rows).filter("at <= prefix")
+    # the first common token with a partner of the same size or larger stands before this place
+    same_size = F.ceil(F.col("n") * (2 * percent) / F.lit(100 + percent))
+    index = common.materialize(index.withColumn("small", F.col("at") <= F.col("n") - same_size), "ngram-index")
+    posting = index.filter("at < prefix")
+    lead = F.min(F.struct("own", F.xxhash64("rid").alias("h"), "rid", "n"))
+    lists = posting.groupBy("token").agg(F.count(F.lit(1)).alias("size"), lead.alias("lead"), F.bool_or("small").alias("small")).filter("size > 1 and small")
+    lists = common.materialize(lists.select("token", "size", F.col("lead.rid").alias("a"), F.col("lead.n").alias("na")), "ngram-lists")
+    members = posting.select("token", F.col("rid").alias("b"), F.col("n").alias("nb"))
+    stars = lists.join(members, "token").filter((F.col("a") != F.col("b")) & near_sizes("na", "nb", percent)).select("a", "b").distinct()
     stars = common.materialize(stars, "ngram-stars")
-    # whole sets of those that have a candidate
-    wanted = stars.select(F.col("a").alias("rid")).unionByName(stars.select(F.col("b").alias("rid"))).distinct()
+    # whole sets of those that are in a list
+    wanted = posting.join(lists.select("token"), "token", "left_semi").select("rid").distinct()
     texts_of = head.join(near.join(wanted, "rid", "left_semi").select("key", "rid").dropDuplicates(["key"]), "key")
     full = common.materialize(
         texts_of.select("doc_id", F.col("rid").alias("key"), "text").transform(lambda d: token_sets(d, k, percent, None))
         .select(F.col("key").alias("rid"), "tokens").dropDuplicates(["rid"]), "ngram-full")
-    stars = common.materialize(compared(stars, full, percent), "ngram-compared")
-    links = stars.filter("linked").select("a", "b")
-    first = common.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "ngram-first")
-    own, other = first.select(F.col("id").alias("_a"), F.col("component_id").alias("ca")), first.select(F.col("id").alias("_b"), F.col("component_id").alias("cb"))
-    groups = stars.join(own, F.col("a") == F.col("_a"), "left").join(other, F.col("b") == F.col("_b"), "left").select(
-        "a", "b", "na", "nb", "linked", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("comp"))
-    groups = common.materialize(groups, "ngram-groups")
-    # a leader's members have something left to find if they are in several components
-    apart = groups.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi and members > 1").select("a")
-    keys = common.materialize(difference_keys(groups.join(apart, "a", "left_semi"), full, percent, frequent), "ngram-keys")
-    x = keys.select("a", "t1", "t2", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("comp").alias("cx"))
-    y = keys.select("a", "t1", "t2", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("comp").alias("cy"))
-    cross = (x.join(y, ["a", "t1", "t2"]).filter((F.col("cx") < F.col("cy")) & near_sizes("nx", "ny", percent))
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    more = common.materialize(compared(cross, full, percent).filter("linked").select("a", "b"), "ngram-links-2")
+    links = common.materialize(compared(stars, full, percent).filter("linked").select("a", "b"), "ngram-links-1")
+
+    def by_component(found: DataFrame, label: str) -> DataFrame:
+        """The postings of lists that span several components, with their sets' components."""
+        comp = common.components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), label)
+        placed = index.join(lists.select("token", "size"), "token").join(comp, F.col("rid") == F.col("id"), "left").select(
+            "token", "size", "rid", "own", "n", "prefix", "at", "small", F.coalesce("component_id", "rid").alias("comp"))
+        placed = common.materialize(placed, f"{label}-placed")
+        ends = placed.filter("at < prefix").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("small").alias("any")).filter("lo <> hi and any")
+        return common.materialize(placed.join(ends.select("token"), "token", "left_semi"), f"{label}-open")
+
+    open_lists = by_component(links, "ngram-first")
+    # a second leader for what the first has not drawn in
+    led = lists.select("token", "a").join(open_lists.filter("at < prefix").select("token", F.col("rid").alias("a"), F.col("comp").alias("c1")), ["token", "a"]).select("token", "c1")
+    rest = open_lists.filter("at < prefix").join(led, "token").filter("comp <> c1").drop("c1")
+    second = rest.groupBy("token").agg(lead.alias("lead")).select("token", F.col("lead.rid").alias("a"), F.col("lead.n").alias("na"))
+    again = (second.join(rest.select("token", F.col("rid").alias("b"), F.col("n").alias("nb")), "token").filter((F.col("a") != F.col("b")) & near_sizes("na", "nb", percent))
+             .select("a", "b").distinct())
+    links = common.materialize(links.unionByName(compared(again, full, percent).filter("linked").select("a", "b")), "ngram-links-2")
+    open_lists = by_component(links, "ngram-second")
+    unsettled = open_lists.filter("at < prefix")
+    none = F.lit(0).cast("long").alias("second")
+    singles = unsettled.filter(F.col("size") <= frequent).select("token", none, "rid", "n", "at", "small", "comp")
+    later = index.select("rid", F.col("token").alias("second"), F.col("at").alias("at2"))
+    combined = (unsettled.filter(F.col("size") > frequent).join(later, "rid").filter(F.struct("at2", "second") > F.struct("at", "token"))
+                .select("token", "second", "rid", "n", "at", "small", "comp"))
+    keys = common.materialize(singles.unionByName(combined), "ngram-keys")
+    x = keys.filter("small").select("token", "second", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("comp").alias("cx"))
+    y = keys.select("token", "second", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("comp").alias("cy"))
+    meet = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & near_sizes("nx", "ny", percent) & first_common("ax", "nx", "ay", "ny", percent)
+    cross = x.join(y, ["token", "second"]).filter(meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = common.materialize(compared(cross, full, percent).filter("linked").select("a", "b"), "ngram-links-3")
     ids = stands.select("rid", "rep")
     named = (links.unionByName(more).join(ids.select(F.col("rid").alias("a"), F.col("rep").alias("src")), "a")
              .join(ids.select(F.col("rid").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst"))
