@@ -14,8 +14,8 @@ windows of one anchor are a run; the bytes they cover are its context.
    context is equal to another's are repeated as they are, copies however many at once.
 3. Different contexts of one anchor are compared as a shard: its suffix array, with
    common-prefix values, is built by external induced sorting (``induced``); neighbours
-   with a common prefix of ``window`` bytes are repeated windows.  Anchors with very
-   many contexts are split first: of two equal windows, the bytes right or left of what
+   with a common prefix of ``window`` bytes are repeated windows.  Anchors with more than
+   ``most`` contexts (about 6 MB at 20,000) are split first: of two equal windows, the bytes right or left of what
    is already equal agree in half of what is missing, so each context goes to the shards
    of its right and left extension, again and again while a shard is too large, and at
    full length counting alone decides.
@@ -237,7 +237,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup(docs: DataFrame, window: int = 200, gram: int = 80, most: int = 256) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 200, gram: int = 80, most: int = 20_000) -> DataFrame:
     """Per row: doc_id, key, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``, the remaining
     bytes, where something was removed (they may end inside a character)."""
     head = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), F.col("text").cast("string").alias("text"))
