@@ -19,8 +19,8 @@ tokens) pair by pair between components, long ones (frequent tokens) by combinat
 token with each later one of the extended prefix, which spread the list over shorter ones.
 Sets x and y need o = ceil(percent * (|x| + |y|) / (100 + percent)) common tokens, so the first
 common one is at most at place |x| - o of x and |y| - o of y; a pair is only made where that
-holds, and a list in which no member's token is so early for a partner of its own size or
-more makes none.
+holds and no earlier token is shared, so a pair is made once, and a list in which no member's
+token is so early for a partner of its own size or more makes none.
 
 Equal sets are collapsed first.  Defined results: null and empty texts and texts without
 words have the empty set and link with nothing; fewer words than a shingle form one token;
@@ -104,7 +104,7 @@ def near_sizes(x: str, y: str, percent: int) -> Column:
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0.18, frequent: int = 64) -> DataFrame:
+def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0.18, frequent: int = 1024) -> DataFrame:
     """Per row of ``docs``: doc_id, key, n_shingles and component_id."""
     head = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), F.col("text").cast("string").alias("text"))
     sets = common.materialize(token_sets(head, k, percent, sampled).withColumn("rid", F.monotonically_increasing_id()), "ngram-sets")
@@ -173,15 +173,21 @@ def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0
     links = common.materialize(links.unionByName(compared(again, full, percent).filter("linked").select("a", "b")), "ngram-links-2")
     open_lists = by_component(links, "ngram-second")
     unsettled = open_lists.filter("at < prefix")
+    # a set's prefix in order; a pair is only made at the first tokens it shares
+    order = (index.join(unsettled.select("rid").distinct(), "rid", "left_semi").groupBy("rid")
+             .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("pre")))
+    place = F.struct("at", "token")
+    rows = unsettled.join(order, "rid").select("token", "rid", "n", "at", "small", "comp", "size", place.alias("e"), "pre")
+    tokens_of = lambda keep: F.transform(F.filter("pre", keep), lambda y: y["token"])
     none = F.lit(0).cast("long").alias("second")
-    singles = unsettled.filter(F.col("size") <= frequent).select("token", none, "rid", "n", "at", "small", "comp")
-    later = index.select("rid", F.col("token").alias("second"), F.col("at").alias("at2"))
-    combined = (unsettled.filter(F.col("size") > frequent).join(later, "rid").filter(F.struct("at2", "second") > F.struct("at", "token"))
-                .select("token", "second", "rid", "n", "at", "small", "comp"))
-    keys = common.materialize(singles.unionByName(combined), "ngram-keys")
-    x = keys.filter("small").select("token", "second", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("comp").alias("cx"))
-    y = keys.select("token", "second", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("comp").alias("cy"))
-    meet = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & near_sizes("nx", "ny", percent) & first_common("ax", "nx", "ay", "ny", percent)
+    singles = rows.filter(F.col("size") <= frequent).select("token", none, "rid", "n", "at", "small", "comp", tokens_of(lambda y: y < F.col("e")).alias("before"))
+    combined = (rows.filter(F.col("size") > frequent).withColumn("e2", F.explode(F.filter("pre", lambda y: y > F.col("e"))))
+                .select("token", F.col("e2.token").alias("second"), "rid", "n", "at", "small", "comp", tokens_of(lambda y: (y < F.col("e2")) & (y != F.col("e"))).alias("before")))
+    keys = singles.unionByName(combined)
+    x = keys.filter("small").select("token", "second", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("comp").alias("cx"), F.col("before").alias("bx"))
+    y = keys.select("token", "second", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("comp").alias("cy"), F.col("before").alias("by"))
+    meet = ((F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & near_sizes("nx", "ny", percent) & first_common("ax", "nx", "ay", "ny", percent)
+            & ~F.arrays_overlap("bx", "by"))
     cross = x.join(y, ["token", "second"]).filter(meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = common.materialize(compared(cross, full, percent).filter("linked").select("a", "b"), "ngram-links-3")
     ids = stands.select("rid", "rep")
