@@ -4,13 +4,16 @@ The tree has a fixed depth: lines part by their number of tokens, then by their
 ``depth`` tokens, tokens with a digit standing for any token.  In a leaf, a token that
 stands at its place in fewer than ``min_docs`` documents is a variable field; what
 remains constant is the line's template, which must be a share ``constant`` of its
-tokens.  A template found in ``min_docs`` documents or more recurs.  Lines of recurring
-templates are dropped; only the first of each (by doc_id, then row, then line) stays, so
-that no content is lost altogether.
+tokens.  Where that is less, tokens that ``recurs`` documents share make the template; as
+a leaf's first tokens agree in any case, those behind them must be the share ``constant``.
+A template found in ``recurs`` documents or more recurs.  Lines of recurring templates are
+dropped; only the first of each (by doc_id, then row, then line) stays, so that no content
+is lost altogether: lines that agree in the second kind of template agree in the first.
 
 Leaves are counted first, so that only lines of leaves that several documents share are
-looked at again.  No leaf is ever gathered in a task: fields, templates and documents are
-all counted by sums that are combined before they are shuffled.
+looked at again; where those all have the same line, it is the template.  No leaf is ever
+gathered in a task: fields, templates and documents are all counted by sums that are
+combined before they are shuffled.
 
 Defined results: a null text stays null and an empty one empty; lines of fewer than
 ``least_tokens`` tokens stay; equal rows (same id and text) count as one document and are
@@ -45,24 +48,35 @@ def leaf_of(words: list[bytes], depth: int) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join([b"%d" % len(words), *words[:depth]])) - (1 << 63)
 
 
+def line_of(words: list[bytes]) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
 def _leaves(least: int, depth: int):
+    """Of each document its leaves, each with the least and greatest hash of its masked lines there."""
+    kind = pa.list_(pa.struct([("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in texts.as_bytes(b.column("text")):
-                own = set()
+                own: dict[int, tuple[int, int]] = {}
                 for line in (text or b"").split(b"\n"):
                     words = masked(line)
                     if len(words) >= least:
-                        own.add(leaf_of(words, depth))
-                rows.append(list(own))
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(rows, pa.list_(pa.int64()))], ["key", "leaves"])
+                        leaf, name = leaf_of(words, depth), line_of(words)
+                        lo, hi = own.get(leaf, (name, name))
+                        own[leaf] = (min(lo, name), max(hi, name))
+                rows.append([{"leaf": k, "lo": lo, "hi": hi} for k, (lo, hi) in own.items()])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(rows, kind)], ["key", "leaves"])
 
     return run
 
 
 def _hot_lines(least: int, depth: int):
-    """Of the documents' lines in hot leaves: leaf, hash of the masked line, the places of all equal ones, the tokens' hashes."""
+    """Of the documents' lines in hot leaves: leaf, hash of the masked line, the places of all equal ones, the tokens' hashes (null where the leaf has one line only)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -70,17 +84,17 @@ def _hot_lines(least: int, depth: int):
             out: dict[str, list] = {k: [] for k in ("doc_id", "key", "leaf", "line", "places", "fields")}
             for doc_id, key, text, hot in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), texts.as_bytes(b.column("text")),
                                               b.column("hot").to_pylist(), strict=True):
-                hot = set(hot)
+                hot = {x["leaf"]: x["alone"] for x in hot}
                 own: dict[tuple[int, int], list[int]] = {}
                 words_of = {}
                 for i, line in enumerate((text or b"").split(b"\n")):
                     words = masked(line)
                     if len(words) >= least and (leaf := leaf_of(words, depth)) in hot:
-                        name = (leaf, xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
+                        name = (leaf, line_of(words))
                         own.setdefault(name, []).append(i)
                         words_of[name] = words
                 for (leaf, line), places in own.items():
-                    fields = [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words_of[leaf, line]]
+                    fields = None if hot[leaf] else [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words_of[leaf, line]]
                     for k, v in zip(out, (doc_id, key, leaf, line, places, fields), strict=True):
                         out[k].append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
@@ -89,39 +103,45 @@ def _hot_lines(least: int, depth: int):
     return run
 
 
-def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least_tokens: int) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least_tokens: int, recurs: int) -> DataFrame:
     """(key, drop): the line numbers that each row loses."""
     head = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    leaves = common.materialize(head.select("key", "text").mapInArrow(_leaves(least_tokens, depth), "key long, leaves array<long>"), "line-leaves")
-    posted = leaves.dropDuplicates(["key"]).select("key", F.explode("leaves").alias("leaf"))
-    shared = posted.groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
-    hot = posted.join(shared, "leaf").groupBy("key").agg(F.collect_list("leaf").alias("hot"))
+    leaves = common.materialize(head.select("key", "text").mapInArrow(_leaves(least_tokens, depth), "key long, leaves array<struct<leaf: long, lo: long, hi: long>>"), "line-leaves")
+    posted = leaves.dropDuplicates(["key"]).select("key", F.inline("leaves"))
+    shared = (posted.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("lo") == F.max("hi")).alias("alone"))
+              .filter(F.col("docs") >= recurs).select("leaf", "alone"))
+    hot = posted.select("key", "leaf").join(shared, "leaf").groupBy("key").agg(F.collect_list(F.struct("leaf", "alone")).alias("hot"))
     lines = (head.join(hot, "key").dropDuplicates(["key"]).select("doc_id", "key", "text", "hot")
              .mapInArrow(_hot_lines(least_tokens, depth), "doc_id long, key long, leaf long, line long, places array<int>, fields array<long>"))
     lines = common.materialize(lines, "line-hot")
     # the distinct masked lines of a leaf, with the number of documents that hold each
-    kinds = common.materialize(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("fields").alias("fields")), "line-kinds")
+    kinds = lines.filter("fields is not null").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("fields").alias("fields"))
+    kinds = common.materialize(kinds, "line-kinds")
     fields = kinds.select("leaf", "line", "docs", F.posexplode("fields").alias("at", "field"))
-    fixed = fields.groupBy("leaf", "at", "field").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).drop("n")
+    fixed = fields.groupBy("leaf", "at", "field").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min(recurs, min_docs))
+    place = F.struct("at", "field")
+    tokens = F.col("tokens")
     templates = (fields.join(fixed, ["leaf", "at", "field"]).groupBy("leaf", "line")
-                 .agg(F.sort_array(F.collect_list(F.struct("at", "field"))).alias("fixed"))
+                 .agg(F.sort_array(F.collect_list(F.when(F.col("n") >= min_docs, place))).alias("fixed"), F.sort_array(F.collect_list(place)).alias("close"),
+                      F.sum((F.col("at") >= depth).cast("int")).alias("behind"))
                  .join(kinds.select("leaf", "line", F.size("fields").alias("tokens")), ["leaf", "line"])
-                 .filter(F.size("fixed") >= F.col("tokens") * constant)
-                 .select("leaf", "line", F.xxhash64("leaf", "fixed").alias("template")))
+                 .withColumn("held", F.when(F.size("fixed") >= tokens * constant, F.col("fixed")).when(F.col("behind") >= (tokens - depth) * constant, F.col("close")))
+                 .filter("held is not null").select("leaf", "line", F.xxhash64("leaf", "held").alias("template")))
     templates = common.materialize(templates, "line-templates")
-    found = lines.join(templates, ["leaf", "line"]).select("template", "key", "doc_id", "places")
+    found = lines.filter("fields is not null").join(templates, ["leaf", "line"]).select("template", "key", "doc_id", "places")
+    found = found.unionByName(lines.filter("fields is null").select(F.xxhash64("leaf", "line").alias("template"), "key", "doc_id", "places"))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", F.array_min("places").alias("line"))
     first = (found.groupBy("template", "key").agg(F.min(place).alias("first")).groupBy("template")
-             .agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs))
+             .agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= recurs))
     first = first.select(F.col("template").alias("_t"), F.col("first.key").alias("_key"), F.col("first.line").alias("_line"))
     gone = found.join(first, F.col("template") == F.col("_t")).select(
         "key", F.explode("places").alias("line"), "_key", "_line").filter((F.col("key") != F.col("_key")) | (F.col("line") != F.col("_line")))
     return gone.groupBy("key").agg(F.collect_list("line").alias("drop"))
 
 
-def dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.6, least_tokens: int = 5) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.6, least_tokens: int = 5, recurs: int = 2) -> DataFrame:
     """The rows of ``docs`` with recurring lines taken out of ``text``, and the columns _n_lines, _n_dropped."""
-    drop = recurring(docs, min_docs, depth, constant, least_tokens).select(F.col("key").alias("_key"), F.col("drop").alias("_drop"))
+    drop = recurring(docs, min_docs, depth, constant, least_tokens, recurs).select(F.col("key").alias("_key"), F.col("drop").alias("_drop"))
     names = docs.columns
     joined = docs.withColumn("_row_key", common.row_key()).join(drop, F.col("_row_key") == F.col("_key"), "left").drop("_row_key", "_key")
 

@@ -94,6 +94,20 @@ def test_line_dedup_generalises_fields(spark):
     assert got[0] == rows[0][1] and got[1] == got[2] == got[3] == "" and got[9] == rows[4][1]
 
 
+def test_line_dedup_of_two_documents(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    near = passage.split(" ")
+    near[40] = "changed"
+    rows = [(1, f"own words of the first text\n{passage}\nsent by ann to all of the staff"), (2, f"{passage}\nother words of the second text"),
+            (3, "other things in a third text\nsent by ann to most of the crew"), (4, " ".join(near)),
+            (5, "we all like tea best"), (6, "we all like old songs"), (7, "row 1 of the long list\nrow 2 of the long list"), (7, "row 1 of the long list\nrow 2 of the long list")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got == dict(rows) | {2: "other words of the second text", 3: "other things in a third text", 4: ""}  # what agrees only in first tokens, or in one document, stays
+    fields = [(i, f"user {n} logged in from host {h} today") for i, (n, h) in enumerate(zip("abc", "xyz", strict=True))] + [(8, "user only seen once in all of it")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, fields), depth=1, recurs=3).collect()} == dict(fields) | {1: "", 2: ""}
+
+
 # 3 toxicity
 
 def test_toxicity(spark):
