@@ -10,13 +10,16 @@ A template found in ``recurs`` documents or more recurs.  Lines of recurring tem
 dropped; only the first of each (by doc_id, then row, then line) stays, so that no content
 is lost altogether: lines that agree in the second kind of template agree in the first.
 
+Lines of fewer than ``least_tokens`` tokens are leaves of their own, alike only if all tokens
+are, digits too.  They say less the shorter they are: each token less doubles the documents
+that one must stand in to recur (of 4 tokens 4, of 3 tokens 8, of one 32).
+
 Leaves are counted first, so that only lines of leaves that several documents share are
 looked at again; where those all have the same line, it is the template.  No leaf is ever
 gathered in a task: fields, templates and documents are all counted by sums that are
 combined before they are shuffled.
 
-Defined results: a null text stays null and an empty one empty; lines of fewer than
-``least_tokens`` tokens stay; equal rows (same id and text) count as one document and are
+Defined results: a null text stays null and an empty one empty; blank lines stay; equal rows (same id and text) count as one document and are
 treated alike; rows with a null id come last in the order; an empty table gives an empty
 result; all columns of the input are kept, whatever their names.
 """
@@ -54,22 +57,31 @@ def line_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def _leaves(least: int, depth: int):
-    """Of each document its leaves, each with the least and greatest hash of its masked lines there."""
-    kind = pa.list_(pa.struct([("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
+def placed(line: bytes, least: int, depth: int) -> tuple[list[bytes], int]:
+    """The tokens that a line is compared by, and its leaf: short lines are leaves of their own, token by token."""
+    words = line.split()
+    if len(words) < least:
+        return words, line_of([b"short", *words])
+    words = masked(line)
+    return words, leaf_of(words, depth)
+
+
+def _leaves(least: int, depth: int, recurs: int):
+    """Of each document its leaves, each with the least and greatest hash of its lines there and the documents it needs."""
+    kind = pa.list_(pa.struct([("leaf", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("need", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in texts.as_bytes(b.column("text")):
-                own: dict[int, tuple[int, int]] = {}
+                own: dict[int, tuple[int, int, int]] = {}
                 for line in (text or b"").split(b"\n"):
-                    words = masked(line)
-                    if len(words) >= least:
-                        leaf, name = leaf_of(words, depth), line_of(words)
-                        lo, hi = own.get(leaf, (name, name))
-                        own[leaf] = (min(lo, name), max(hi, name))
-                rows.append([{"leaf": k, "lo": lo, "hi": hi} for k, (lo, hi) in own.items()])
+                    words, leaf = placed(line, least, depth)
+                    if words:
+                        name = line_of(words)
+                        lo, hi, _ = own.get(leaf, (name, name, 0))
+                        own[leaf] = (min(lo, name), max(hi, name), recurs << max(0, least - len(words)))
+                rows.append([{"leaf": k, "lo": lo, "hi": hi, "need": n} for k, (lo, hi, n) in own.items()])
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(rows, kind)], ["key", "leaves"])
 
     return run
@@ -88,8 +100,8 @@ def _hot_lines(least: int, depth: int):
                 own: dict[tuple[int, int], list[int]] = {}
                 words_of = {}
                 for i, line in enumerate((text or b"").split(b"\n")):
-                    words = masked(line)
-                    if len(words) >= least and (leaf := leaf_of(words, depth)) in hot:
+                    words, leaf = placed(line, least, depth)
+                    if words and leaf in hot:
                         name = (leaf, line_of(words))
                         own.setdefault(name, []).append(i)
                         words_of[name] = words
@@ -106,10 +118,10 @@ def _hot_lines(least: int, depth: int):
 def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least_tokens: int, recurs: int) -> DataFrame:
     """(key, drop): the line numbers that each row loses."""
     head = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    leaves = common.materialize(head.select("key", "text").mapInArrow(_leaves(least_tokens, depth), "key long, leaves array<struct<leaf: long, lo: long, hi: long>>"), "line-leaves")
+    leaves = common.materialize(head.select("key", "text").mapInArrow(_leaves(least_tokens, depth, recurs), "key long, leaves array<struct<leaf: long, lo: long, hi: long, need: long>>"), "line-leaves")
     posted = leaves.dropDuplicates(["key"]).select("key", F.inline("leaves"))
-    shared = (posted.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("lo") == F.max("hi")).alias("alone"))
-              .filter(F.col("docs") >= recurs).select("leaf", "alone"))
+    shared = (posted.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("lo") == F.max("hi")).alias("alone"), F.max("need").alias("need"))
+              .filter(F.col("docs") >= F.col("need")).select("leaf", "alone"))
     hot = posted.select("key", "leaf").join(shared, "leaf").groupBy("key").agg(F.collect_list(F.struct("leaf", "alone")).alias("hot"))
     lines = (head.join(hot, "key").dropDuplicates(["key"]).select("doc_id", "key", "text", "hot")
              .mapInArrow(_hot_lines(least_tokens, depth), "doc_id long, key long, leaf long, line long, places array<int>, fields array<long>"))

@@ -108,6 +108,17 @@ def test_line_dedup_of_two_documents(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, fields), depth=1, recurs=3).collect()} == dict(fields) | {1: "", 2: ""}
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(36):
+        lines = [words(rng, 12), "All rights reserved.", f"Page {i}", "", *["thanks"] * (i < 31), *["Menu"] * (i < 32), *["see you soon"] * (i < 7), *[" read it in  full"] * (i < 4)]
+        rows.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs_of(spark, rows)).collect()}
+    gone = ("All rights reserved.", "Menu", " read it in  full")
+    assert got == {i: "\n".join(x for x in t.split("\n") if i == 0 or x not in gone) for i, t in rows}
+
+
 # 3 toxicity
 
 def test_toxicity(spark):
