@@ -1,12 +1,16 @@
 """Hand-computed cases of the formulas and traversals."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 
 from flockscope.functions import scalars as S
 from flockscope.operators import explore, graph, investigation, narratives, scoring, signals, store
+from flockscope.plans import analytics_queries
+from flockscope.plans.all_queries import QUERIES
 from flockscope.streaming.pipelines import IdleTrigger
 
 
@@ -129,6 +133,25 @@ def test_graph(spark):
     assert graph.modularity(edges, found) >= graph.modularity(edges, nodes.withColumn("community", F.col("id")))
 
 
+def test_pagerank_converged_against_a_model(spark):
+    touched = {}
+    for r in analytics_queries._touches(spark, DATA).distinct().collect():
+        touched.setdefault(r.post_id, []).append(r.account_id)
+    weight = Counter((a, b) for on in touched.values() for a in on for b in on if a < b)
+    out = Counter()
+    for (a, _), n in weight.items():
+        out[a] += n
+    score = {a: 0.15 for on in touched.values() for a in on}
+    for _ in range(20):
+        before, score = score, dict.fromkeys(score, 0.15)
+        for (a, b), n in weight.items():
+            score[b] += 0.85 * before[a] * n / out[a]
+        if max(abs(score[a] - before[a]) for a in score) <= 1e-7:
+            break
+    got = {r.id: r.score for r in QUERIES["pagerank_converged"](spark, DATA).collect()}
+    assert got == pytest.approx(score, rel=1e-9)
+
+
 def test_louvain_parts_two_cliques(spark):
     pairs = [(a, b, 1) for base in (0, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)] + [(0, 10, 1)]
     edges = spark.createDataFrame(pairs, "src long, dst long, weight long")
