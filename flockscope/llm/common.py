@@ -6,9 +6,11 @@ and tables whose size a parameter bounds.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="flockscope-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -44,13 +48,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flockscope/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(hadoop_path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A folder in the shared one for files that a task keeps to itself and removes; '' where the
+    shared folder is a store without a path: such files then go where Spark's own spills go."""
+    path = f"{shared_dir(spark)}/flockscope/{label}-{uuid.uuid4().hex}"
+    parsed = urlparse(path)
+    if parsed.scheme not in ("", "file"):
+        return ""
+    os.makedirs(parsed.path, exist_ok=True)
+    _delete_at_end(spark, path)
+    return parsed.path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

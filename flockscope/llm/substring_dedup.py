@@ -12,23 +12,28 @@ windows of one anchor are a run; the bytes they cover are its context.
    counted over the whole corpus.
 2. Documents without such an anchor are done with.  For the others, runs whose whole
    context is equal to another's are repeated as they are, copies however many at once.
-3. Different contexts of one anchor are compared as a shard: its suffix array, with
-   common-prefix values, is built by external induced sorting (``induced``); neighbours
-   with a common prefix of ``window`` bytes are repeated windows.  Anchors with more than
-   ``most`` contexts (about 6 MB at 20,000) are split first: of two equal windows, the bytes right or left of what
-   is already equal agree in half of what is missing, so each context goes to the shards
-   of its right and left extension, again and again while a shard is too large, and at
-   full length counting alone decides.
-
-Equality is decided by hashes of 64 or 128 bits.  Defined results: null and empty texts
-have no bytes; repeated rows count as copies; null ids are kept; an empty table gives an
-empty result; other columns are ignored.
+3. Different contexts of one anchor are compared as a shard: its suffixes are sorted, with
+   common-prefix values, by external induced sorting (``induced``), in memory that does not
+   grow with the shard; neighbours with a common prefix of ``window`` bytes are repeated
+   windows.  So that tasks stay even, anchors with more than ``most`` contexts (about 6 MB at
+   20,000) are split first: of two equal windows, the bytes right or left of what is already
+   equal agree in half of what is missing, so each context goes to the shards of its right
+   and left extension, again and again while a shard is too large, and at full length
+   counting alone decides.
+
+Hashes of 64 bits only bring contexts together; bytes, or hashes of 128 bits of whole
+contexts, decide.  The sort's queues are files of the task alone, which a task that runs
+again makes anew: in the shared folder if that is a mounted one, else where Spark's own
+spills go.  Defined results: null and empty texts have no bytes; repeated rows count as
+copies; null ids are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +47,15 @@ from . import common, induced, texts
 _BITS = np.uint64(24)
 _MASK = np.uint64((1 << 24) - 1)
 STEP = 1 << 22  # windows anchored at once
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 1 << 16)
-        for name, base in (("up", induced._BASE), ("down", induced._INVERSE)):
+        for name, base in (("up", _BASE), ("down", _INVERSE)):
             ones = np.full(size, base, np.uint64)
             ones[0] = 1
             with np.errstate(over="ignore"):
@@ -131,13 +138,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     """The bytes of the contexts that a document stands for."""
     for b in batches:
         for text, key, wanted in zip(texts.as_bytes(b.column("text")), b.column("key").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-            cols = [[w["fp"] for w in wanted], [key] * len(wanted), [w["first"] for w in wanted], [w["n"] for w in wanted], [w["at"] for w in wanted],
+            cols = [[w["fp"].to_bytes(8, "little", signed=True) for w in wanted], [key] * len(wanted), [w["first"] for w in wanted], [w["n"] for w in wanted], [w["at"] for w in wanted],
                     [w["times"] for w in wanted], [text[w["first"] : w["first"] + w["n"] - 1 + window] for w in wanted]]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["shard", "key", "first", "n", "at", "times", "data"])
 
 
-SHARD = "shard long, key long, first long, n int, at int, times long, data binary"
+SHARD = "shard binary, key long, first long, n int, at int, times long, data binary"
 
 
 def _extended(left: int, right: int, span: int, window: int):
@@ -153,73 +160,107 @@ def _extended(left: int, right: int, span: int, window: int):
             for grow_left, grow_right in ((span, 0), (0, span)):
                 x, y = left + grow_left, right + grow_right
                 fits = pdf[(pdf["at"] >= x) & (pdf["at"] + y <= pdf["data"].map(len))]
-                names = [xxhash.xxh3_64_intdigest(np.array([s, x, y], np.int64).tobytes() + d[a - x : a + y])
-                         for s, d, a in zip(fits["shard"], fits["data"], fits["at"], strict=True)]
-                out.append(fits.assign(shard=np.array(names, np.uint64).view(np.int64), lo=x, hi=y))
+                names = [xxhash.xxh3_128_digest(b"%b %d %d " % (s, x, y) + d[a - x : a + y]) for s, d, a in zip(fits["shard"], fits["data"], fits["at"], strict=True)]
+                out.append(fits.assign(shard=names, lo=x, hi=y))
             yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False, schema=pa.schema(
-                [("shard", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("times", pa.int64()), ("data", pa.binary()),
+                [("shard", pa.binary()), ("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("times", pa.int64()), ("data", pa.binary()),
                  ("lo", pa.int32()), ("hi", pa.int32())]))
 
     return run
 
 
-def _sort_shards(batches: Iterator[pa.RecordBatch], window: int, limit: int = 24 << 20) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of the shards of a partition, whose rows come shard by shard."""
-    held: list[pd.DataFrame] = []
-    size = 0
+class _Contexts:
+    """Contexts of whole shards for one sort, their bytes in a file."""
+
+    def __init__(self, root: str, limit: int) -> None:
+        root = root or os.environ.get("LOCAL_DIRS") or os.environ["SPARK_LOCAL_DIRS"]
+        self.folder = os.path.join(root.split(",")[0], uuid.uuid4().hex)
+        os.makedirs(self.folder)
+        self.path, self.limit = os.path.join(self.folder, "bytes"), limit
+        self.parts: list[pd.DataFrame] = []
+        self.seen: set[tuple[int, int]] = set()
+        self.size, self.wide = 0, False
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """Rows of one shard; a context that came with another shard already counts once, so that it does not repeat itself."""
+        names = list(zip(rows["key"].tolist(), rows["first"].tolist(), strict=True))
+        rows = rows[[x not in self.seen for x in names]]
+        if self.size <= self.limit:  # what goes beyond is all of one shard
+            self.seen.update(names)
+        if not len(rows):
+            return
+        data = b"\0".join([*rows["data"], b""])
+        self.wide |= b"\xff" in data
+        with open(self.path, "ab") as f:
+            f.write(data)
+        ends = np.cumsum(rows["data"].map(len).to_numpy(np.int64) + 1)
+        self.parts.append(pd.DataFrame({"key": rows["key"].to_numpy(), "first": rows["first"].to_numpy(), "n": rows["n"].to_numpy(np.int64), "once": rows["times"].to_numpy() == 1,
+                                        "start": self.size + np.append(0, ends[:-1])}))
+        self.size += int(ends[-1])
+
+    def repeats(self, window: int) -> Iterator[pa.RecordBatch]:
+        """(key, first, end) of maximal runs of window starts that another context holds too."""
+        try:
+            if self.size:
+                yield from self._repeats(window)
+        finally:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+    def _repeats(self, window: int) -> Iterator[pa.RecordBatch]:
+        rows = pd.concat(self.parts, ignore_index=True)
+        self.parts, self.seen = [], set()
+        starts, n, scratch = rows["start"].to_numpy(), rows["n"].to_numpy(), induced.Scratch(self.folder)
+        # symbols are bytes and one more; valid UTF-8 has no byte 255, so that 0 is free to part the contexts
+        kind = np.uint16 if self.wide else np.uint8
+        symbols = scratch.array(induced.Text.padded(self.size, np.dtype(kind).itemsize), kind)
+        raw = np.memmap(self.path, np.uint8, mode="r")
+        for lo in range(0, self.size, 1 << 20):
+            symbols[lo : lo + (1 << 20)][: self.size - lo] = raw[lo : lo + (1 << 20)].astype(kind) + kind(1)
+        symbols[np.append(starts[1:], self.size) - 1] = 0
+        hit = scratch.array(self.size, bool)
+        last, clean = -1, False
+        for pos, lcp in induced.suffixes(induced.Text(symbols, self.size, 257 if self.wide else 256), window, scratch):
+            context = np.searchsorted(starts, pos, "right") - 1
+            own = np.flatnonzero(pos - starts[context] < n[context])  # windows of the context's own run
+            breaks = np.cumsum(lcp < window)
+            if len(own):
+                at, p = breaks[own], pos[own]
+                before = np.append(last, p[:-1])
+                same = np.append(clean and at[0] == 0, at[1:] == at[:-1])
+                hit[p[same]] = True
+                hit[before[same]] = True
+                last, clean = int(p[-1]), bool(breaks[-1] == at[-1])
+            else:
+                clean = clean and breaks[-1] == 0
+        key, first, once = rows["key"].to_numpy(), rows["first"].to_numpy(), rows["once"].to_numpy()
+        bounds = np.append(starts, self.size)
+        for i in range(0, len(rows), 4096):
+            z = min(i + 4096, len(rows))
+            lo = bounds[i]
+            found = np.asarray(hit[lo : bounds[z]]) & np.repeat(once[i:z], np.diff(bounds[i : z + 1]))
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], found.astype(np.int8), [0]))))
+            a, end = edges[::2] + lo, edges[1::2] + lo
+            c = np.searchsorted(starts, a, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key[c], first[c] + a - starts[c], first[c] + end - starts[c])], ["key", "first", "end"])
+
+
+def _sort_shards(batches: Iterator[pa.RecordBatch], window: int, root: str, limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of the shards of a partition, whose rows come shard by shard: small ones are sorted together, large ones alone or with a few small ones."""
+    held, last = None, None
     for b in batches:
         pdf = b.to_pandas()
-        held.append(pdf)
-        size += int(pdf["data"].map(len).sum())
-        if size > limit:  # sort the shards that are complete
-            whole = pd.concat(held)
-            last = whole["shard"].iloc[-1]
-            ready, rest = whole[whole["shard"] != last], whole[whole["shard"] == last]
-            if len(ready):
-                yield _sorted(ready, window)
-            held, size = [rest], int(rest["data"].map(len).sum())
-    if held:
-        whole = pd.concat(held)
-        if len(whole):
-            yield _sorted(whole, window)
-
-
-def _sorted(pdf: pd.DataFrame, window: int) -> pa.RecordBatch:
-    """(key, first, end) of maximal runs of window starts that another context holds too.
-
-    A context that came in several shards counts once, so that it does not repeat itself."""
-    pdf = pdf.drop_duplicates(["key", "first"])
-    lengths = pdf["data"].map(len).to_numpy()
-    n = pdf["n"].to_numpy(np.int64)
-    joined = np.zeros(int(lengths.sum()) + len(pdf), np.uint16)  # 0 parts the contexts
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    run_of = np.zeros(len(joined), bool)
-    for s, data, k in zip(starts.tolist(), pdf["data"], n.tolist(), strict=True):
-        joined[s : s + len(data)] = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
-        run_of[s : s + k] = True  # the windows of the context's own run
-    hit = np.zeros(len(joined), bool)
-    with tempfile.TemporaryDirectory() as folder:
-        np.save(f"{folder}/text.npy", joined)
-        text = np.load(f"{folder}/text.npy", mmap_mode="r")
-        hashes = induced.PrefixHash(joined)
-        last = np.zeros(0, np.int64)
-        for batch in induced.sorted_suffixes(text, window, folder):
-            own = np.concatenate((last, batch[run_of[batch]]))
-            if len(own) > 1:
-                same = induced.common_prefix(hashes, own[:-1], own[1:], window, len(joined)) >= window
-                hit[own[:-1][same]] = True
-                hit[own[1:][same]] = True
-            last = own[-1:]
-    keys, firsts, ends = [], [], []
-    base = pdf["first"].to_numpy(np.int64)
-    for i in np.flatnonzero(pdf["times"].to_numpy() == 1).tolist():
-        run = np.concatenate(([0], hit[starts[i] : starts[i] + n[i]].astype(np.int8), [0]))
-        edges = np.flatnonzero(np.diff(run))
-        for a, z in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            keys.append(pdf["key"].iloc[i])
-            firsts.append(base[i] + a)
-            ends.append(base[i] + z)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, firsts, ends)], ["key", "first", "end"])
+        cuts = np.flatnonzero((pdf["shard"] != pdf["shard"].shift()).to_numpy())
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)], strict=True):
+            rows = pdf.iloc[lo:hi]
+            if held is not None and held.size > limit and rows["shard"].iloc[0] != last:
+                yield from held.repeats(window)
+                held = None
+            if held is None:
+                held = _Contexts(root, limit)
+            held.add(rows)
+            last = rows["shard"].iloc[0]
+    if held is not None:
+        yield from held.repeats(window)
 
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -285,7 +326,8 @@ def dedup(docs: DataFrame, window: int = 200, gram: int = 80, most: int = 20_000
         level = common.materialize(common.union_all(finer), f"sub-shards-{turn}")
     to_sort = common.union_all(ready).select(*[c.split()[0] for c in SHARD.split(", ")])
     parts = max(1, int(to_sort.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found.append(to_sort.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _sort_shards(it, window), "key long, first long, end long"))
+    root = common.scratch_dir(docs.sparkSession, "sub-queues")
+    found.append(to_sort.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _sort_shards(it, window, root), "key long, first long, end long"))
     ranges = common.union_all(found).groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
     gone = (affected.select("key", "text").join(ranges, "key")
             .mapInArrow(lambda it: _removed(it, window), "key long, n_removed long, n_spans long, kept_sha256 string, kept binary"))

@@ -386,7 +386,7 @@ def brute_substrings(rows, size):
 def test_substrings(spark, texts, most):
     rng = random.Random(12)
     part = words(rng, 70)
-    rows = [r for r in texts if r[0] != 16] + [(80 + i, words(rng, 30) + part[i * 7 : 260 + i * 9] + words(rng, 30)) for i in range(6)] + [(90, "ab" * 300), (91, "é" * 250), (92, part[:200]), (93, part[:199])]
+    rows = texts + [(80 + i, words(rng, 30) + part[i * 7 : 260 + i * 9] + words(rng, 30)) for i in range(6)] + [(90, "ab" * 300), (91, "é" * 250), (92, part[:200]), (93, part[:199])]
     out = substring_dedup.dedup(docs_of(spark, rows), most=most)
     assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_substrings(rows, 200)
 
@@ -407,19 +407,62 @@ def test_anchors_depend_on_the_window_alone():
         assert set(want.items()) >= {x for x in here.items() if x[0] in want}
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_induced_sorting(tmp_path, seed, monkeypatch):
-    monkeypatch.setattr(induced, "BATCH", 64)  # queues go to disk
+def suffixes_of(parts, cap, folder):
+    symbols = b"".join(p + b"\0" for p in parts)
+    padded = np.zeros(induced.Text.padded(len(symbols), 1), np.uint8)
+    padded[: len(symbols)] = np.frombuffer(symbols, np.uint8)
+    return symbols, induced.suffixes(induced.Text(padded, len(symbols), 256), cap, induced.Scratch(str(folder)))
+
+
+@pytest.mark.parametrize("seed", range(10))
+@pytest.mark.parametrize("limits", [(1 << 21, 1 << 21, 1 << 16, 1 << 22), (4, 50, 16, 64)])
+def test_induced_sorting(tmp_path, seed, limits, monkeypatch):
+    """Order and common prefixes, in memory and with recursion and all queues and arrays on disk."""
+    for name, value in zip(("BASE", "ROOM", "BATCH", "SMALL"), limits, strict=True):
+        monkeypatch.setattr(induced, name, value)
     rng = random.Random(seed)
-    x = [rng.randrange(rng.choice([1, 2, 5])) for _ in range(rng.choice([1, 2, 30, 500]))]
-    x = np.array(x + x[: len(x) // 2] if seed % 2 else x, np.uint16)
-    got = np.concatenate(list(induced.sorted_suffixes(x, 10**9, str(tmp_path)))).tolist()
-    assert got == sorted(range(len(x)), key=lambda i: x[i:].tolist())
-    h = induced.PrefixHash(x)
-    a, b = np.array(got[:-1], np.int64), np.array(got[1:], np.int64)
-    lcp = induced.common_prefix(h, a, b, 50, len(x)).tolist()
-    for p, q, n in zip(a.tolist(), b.tolist(), lcp, strict=True):
-        m = 0
-        while m < 50 and max(p, q) + m < len(x) and x[p + m] == x[q + m]:
+    alphabet = rng.choice([b"a", b"ab", b"abc", b"abcdefgh", bytes(range(1, 246))])
+    parts = [bytes(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(rng.randint(1, 12))]
+    parts += [p[:-1] + b"a" for p in parts if len(p) > 1] * (seed % 3 == 0) + [alphabet[:2] * 30] * (seed % 5 == 0)
+    cap = rng.choice([5, 20, 200])
+    text, found = suffixes_of(parts, cap, tmp_path)
+    pos, lcp = map(np.concatenate, zip(*found, strict=True))
+    assert sorted(pos.tolist()) == list(range(len(text)))
+    for b, a, n in zip(pos[:-1].tolist(), pos[1:].tolist(), lcp[1:].tolist(), strict=True):
+        x, y, m = text[a:], text[b:], 0
+        while m < min(len(x), len(y), cap) and x[m] == y[m]:
             m += 1
-        assert n == m
+        assert n == m and x[:cap] <= y[:cap]
+
+
+def test_induced_sorting_needs_little_memory(tmp_path, monkeypatch):
+    """With limits far below the text's size, a sort takes less than 8 bytes a byte, queues, names and stars included."""
+    import tracemalloc
+
+    for name, value in (("BASE", 1 << 14), ("ROOM", 1 << 14), ("BATCH", 1 << 11), ("SMALL", 1 << 16)):
+        monkeypatch.setattr(induced, name, value)
+    rng = random.Random(4)
+    parts = [words(rng, 60).encode() for _ in range(1200)]
+    text, found = suffixes_of(parts, 200, tmp_path)
+    tracemalloc.start()
+    n = sum(len(pos) for pos, _ in found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(text) > 300_000 and peak < 8 * n
+
+
+def test_substrings_of_bytes_that_are_no_text(spark):
+    """Byte 255 occurs in no valid UTF-8 but may come in a string all the same."""
+    rows = [(i, bytes([255, 65 + i]) * 3 + b"\xff\xfe" * 120 + bytes([66 + i])) for i in range(3)]
+    one = substring_dedup._Contexts("/tmp", 1 << 20)
+    import pandas as pd
+
+    for i, t in rows:
+        one.add(pd.DataFrame({"key": [i], "first": [0], "n": [len(t) - 199], "times": [1], "data": [t]}))
+    assert one.wide
+    got = [r for b in one.repeats(200) for r in b.to_pylist()]
+    texts = dict(rows)
+    seen = Counter(t[j : j + 200] for t in texts.values() for j in range(len(t) - 199))
+    for i, t in texts.items():
+        want = {j for j in range(len(t) - 199) if seen[t[j : j + 200]] > 1}
+        assert {j for r in got if r["key"] == i for j in range(r["first"], r["end"])} == want
