@@ -12,15 +12,18 @@ few that fill up short prefixes need counting, and a set of which p tokens or mo
 no other set is done with.
 
 Prefix tokens are indexed singly.  Of each posting list all members are verified against a
-leader, the set with fewest tokens of its own, and those not in its component against a
-second one; that costs no more than the list's length and mostly joins a group of copies at
-once.  Lists that still span several components are resolved exactly: short ones (rare
-tokens) pair by pair between components, long ones (frequent tokens) by combinations of the
-token with each later one of the extended prefix, which spread the list over shorter ones.
-Sets x and y need o = ceil(percent * (|x| + |y|) / (100 + percent)) common tokens, so the first
-common one is at most at place |x| - o of x and |y| - o of y; a pair is only made where that
-holds and no earlier token is shared, so a pair is made once, and a list in which no member's
-token is so early for a partner of its own size or more makes none.
+leader, the set with fewest tokens of its own; that costs no more than the list's length and
+mostly joins a group of copies at once.  The sets of lists that still span several components
+are ordered anew, by the document frequency of all their tokens among them, which puts what
+tells copies apart in front, and their lists have leaders again.
+
+Sets x and y need o = ceil(percent * (|x| + |y|) / (100 + percent)) common tokens, so the
+first common one is at most at place |x| - o of x and |y| - o of y, and each later one a place
+further.  In the new order lists are keyed by a token, and where that is frequent - the members
+outside the list's largest component times all of them exceed ``frequent`` squared - by the
+combinations of it with each later token of the prefix, one token more each turn and up to
+``most`` of them.  Of a list, members outside the largest component meet the others, and a pair
+is made only if the key holds the first tokens that both share and their components differ.
 
 Equal sets are collapsed first.  Defined results: null and empty texts and texts without
 words have the empty set and link with nothing; fewer words than a shingle form one token;
@@ -94,17 +97,17 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.withColumn("linked", F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent)
 
 
-def first_common(ax: str, nx: str, ay: str, ny: str, percent: int) -> Column:
-    """Whether a token at these places can be the first that sets of these sizes share, if they link."""
-    least = F.ceil((F.col(nx) + F.col(ny)) * percent / F.lit(100 + percent))
-    return (F.col(ax) <= F.col(nx) - least) & (F.col(ay) <= F.col(ny) - least)
+def first_common(ax: str, nx: str, ay: str, ny: str, percent: int, k: int) -> Column:
+    """Whether a token at these places can be the k-th that sets of these sizes share, if they link."""
+    least = F.ceil((F.col(nx) + F.col(ny)) * percent / F.lit(100 + percent)) - F.lit(k)
+    return (F.col(ax) < F.col(nx) - least) & (F.col(ay) < F.col(ny) - least)
 
 
 def near_sizes(x: str, y: str, percent: int) -> Column:
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0.18, frequent: int = 1024) -> DataFrame:
+def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0.18, frequent: int = 1024, most: int = 4) -> DataFrame:
     """Per row of ``docs``: doc_id, key, n_shingles and component_id."""
     head = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), F.col("text").cast("string").alias("text"))
     sets = common.materialize(token_sets(head, k, percent, sampled).withColumn("rid", F.monotonically_increasing_id()), "ngram-sets")
@@ -116,7 +119,7 @@ def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0
               .select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).filter("src <> dst"))
     # which tokens are in more than one row, counted over all rows
     posted = live.select("rid", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").count().filter("count > 1")
+    shared = common.materialize(posted.groupBy("token").count().filter("count > 1"), "ngram-shared")
     found = posted.join(shared, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.col("count").alias("df"), "token"))).alias("shared"))
     # sets whose prefix is not all their own, by their representatives
     prefix = F.col("n") - least_overlap(F.col("n"), percent) + 1
@@ -154,42 +157,28 @@ def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0
         .select(F.col("key").alias("rid"), "tokens").dropDuplicates(["rid"]), "ngram-full")
     links = common.materialize(compared(stars, full, percent).filter("linked").select("a", "b"), "ngram-links-1")
 
-    def by_component(found: DataFrame, label: str) -> DataFrame:
-        """The postings of lists that span several components, with their sets' components."""
-        comp = common.components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")), label)
-        placed = index.join(lists.select("token", "size"), "token").join(comp, F.col("rid") == F.col("id"), "left").select(
-            "token", "size", "rid", "own", "n", "prefix", "at", "small", F.coalesce("component_id", "rid").alias("comp"))
-        placed = common.materialize(placed, f"{label}-placed")
-        ends = placed.filter("at < prefix").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("small").alias("any")).filter("lo <> hi and any")
-        return common.materialize(placed.join(ends.select("token"), "token", "left_semi"), f"{label}-open")
-
-    open_lists = by_component(links, "ngram-first")
-    # a second leader for what the first has not drawn in
-    led = lists.select("token", "a").join(open_lists.filter("at < prefix").select("token", F.col("rid").alias("a"), F.col("comp").alias("c1")), ["token", "a"]).select("token", "c1")
-    rest = open_lists.filter("at < prefix").join(led, "token").filter("comp <> c1").drop("c1")
-    second = rest.groupBy("token").agg(lead.alias("lead")).select("token", F.col("lead.rid").alias("a"), F.col("lead.n").alias("na"))
-    again = (second.join(rest.select("token", F.col("rid").alias("b"), F.col("n").alias("nb")), "token").filter((F.col("a") != F.col("b")) & near_sizes("na", "nb", percent))
-             .select("a", "b").distinct())
+    # sets of lists that span several components; a list of two is done with when its leader is
+    comp = _placed(links, "ngram-first")
+    placed = common.materialize(posting.join(lists.filter("size > 2").select("token"), "token").join(comp, F.col("rid") == F.col("id"), "left").select(
+        "token", "rid", "n", "small", F.coalesce("component_id", "rid").alias("comp")), "ngram-placed")
+    ends = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("small").alias("any")).filter("lo <> hi and any")
+    left = common.materialize(placed.join(common.materialize(ends.select("token"), "ngram-ends"), "token", "left_semi").select("rid", "n").distinct(), "ngram-left")
+    order = _ordered(left, full, percent, most)
+    keys = common.materialize(_single_keys(order), "ngram-keys-1")
+    # leaders again, now those with the fewest rarer tokens before the list's
+    lead = F.min(F.struct("at", F.xxhash64("rid").alias("h"), "rid", "n"))
+    lists = common.materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), lead.alias("lead")).filter("size > 1")
+                               .select("key", F.col("lead.rid").alias("a"), F.col("lead.n").alias("na")), "ngram-lists-2")
+    met = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    again = (lists.join(keys.select("key", F.col("rid").alias("b"), F.col("n").alias("nb")), "key").filter((F.col("a") != F.col("b")) & near_sizes("na", "nb", percent))
+             .select("a", "b").distinct().join(met, ["a", "b"], "left_anti"))
+    again = common.materialize(again, "ngram-stars-2")
     links = common.materialize(links.unionByName(compared(again, full, percent).filter("linked").select("a", "b")), "ngram-links-2")
-    open_lists = by_component(links, "ngram-second")
-    unsettled = open_lists.filter("at < prefix")
-    # a set's prefix in order; a pair is only made at the first tokens it shares
-    order = (index.join(unsettled.select("rid").distinct(), "rid", "left_semi").groupBy("rid")
-             .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("pre")))
-    place = F.struct("at", "token")
-    rows = unsettled.join(order, "rid").select("token", "rid", "n", "at", "small", "comp", "size", place.alias("e"), "pre")
-    tokens_of = lambda keep: F.transform(F.filter("pre", keep), lambda y: y["token"])
-    none = F.lit(0).cast("long").alias("second")
-    singles = rows.filter(F.col("size") <= frequent).select("token", none, "rid", "n", "at", "small", "comp", tokens_of(lambda y: y < F.col("e")).alias("before"))
-    combined = (rows.filter(F.col("size") > frequent).withColumn("e2", F.explode(F.filter("pre", lambda y: y > F.col("e"))))
-                .select("token", F.col("e2.token").alias("second"), "rid", "n", "at", "small", "comp", tokens_of(lambda y: (y < F.col("e2")) & (y != F.col("e"))).alias("before")))
-    keys = singles.unionByName(combined)
-    x = keys.filter("small").select("token", "second", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("comp").alias("cx"), F.col("before").alias("bx"))
-    y = keys.select("token", "second", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("comp").alias("cy"), F.col("before").alias("by"))
-    meet = ((F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & near_sizes("nx", "ny", percent) & first_common("ax", "nx", "ay", "ny", percent)
-            & ~F.arrays_overlap("bx", "by"))
-    cross = x.join(y, ["token", "second"]).filter(meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = common.materialize(compared(cross, full, percent).filter("linked").select("a", "b"), "ngram-links-3")
+    comp = _placed(links, "ngram-second")
+    keys = keys.join(comp, F.col("rid") == F.col("id"), "left").select("rid", "n", F.coalesce("component_id", "rid").alias("comp"), "key", "at", "before")
+    cross = _combined(keys, order, percent, frequent, most)
+    met = met.unionByName(again).unionByName(again.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = common.materialize(compared(cross.join(met, ["a", "b"], "left_anti"), full, percent).filter("linked").select("a", "b"), "ngram-links-3")
     ids = stands.select("rid", "rep")
     named = (links.unionByName(more).join(ids.select(F.col("rid").alias("a"), F.col("rep").alias("src")), "a")
              .join(ids.select(F.col("rid").alias("b"), F.col("rep").alias("dst")), "b").select("src", "dst"))
@@ -198,5 +187,57 @@ def join_sets(docs: DataFrame, k: int = 4, percent: int = 85, sampled: float = 0
             .select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
+def _placed(links: DataFrame, label: str) -> DataFrame:
+    return common.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), label)
+
+
+def _ordered(left: DataFrame, full: DataFrame, percent: int, most: int) -> DataFrame:
+    """The sets ``left`` (rid, n) with their prefix and, in the order by document frequency among them, the shared tokens of the extended prefix with their places."""
+    prefix = (F.col("n") - least_overlap(F.col("n"), percent) + 1).cast("int")
+    posted = full.join(left, "rid").select("rid", F.explode("tokens").alias("token"))
+    counts = common.materialize(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "ngram-counts")
+    # a set's own tokens come first
+    order = (posted.join(counts, "token").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")).join(left, "rid")
+             .withColumn("prefix", prefix).withColumn("own", F.col("n") - F.size("shared")).filter("own < prefix"))
+    place = F.transform("shared", lambda x, i: F.struct((F.col("own") + i).alias("at"), x["token"].alias("token")))
+    return common.materialize(order.select("rid", "n", "prefix", F.filter(place, lambda x: x["at"] < F.col("prefix") + (most - 1)).alias("pre")), "ngram-order")
+
+
+def _single_keys(order: DataFrame) -> DataFrame:
+    """A row for each token of the prefixes: its place, and the shared tokens before it."""
+    base = order.select("rid", "n", "pre", F.explode(F.filter("pre", lambda x: x["at"] < F.col("prefix"))).alias("e"))
+    before = F.transform(F.filter("pre", lambda x: x["at"] < F.col("e")["at"]), lambda x: x["token"])
+    return base.select("rid", "n", F.col("e.token").alias("key"), F.col("e.at").alias("at"), before.alias("before"))
+
+
+def _combined(level: DataFrame, order: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that may link, each once, by keys of one token and more."""
+    found: list[DataFrame] = []
+    for k in range(1, most + 1):
+        level = common.materialize(level, f"ngram-combined-{k}")
+        parts = level.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+        lists = parts.groupBy("key").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("rows", "comp")).alias("main")).filter("comps > 1")
+        lists = common.materialize(lists.select("key", "size", F.col("main.comp").alias("main"), (F.col("size") * (F.col("size") - F.col("main.rows"))).alias("work")), f"ngram-open-{k}")
+        at = common.materialize(level.join(lists, "key").withColumn("large", F.col("work") > (frequent * frequent if k < most else (1 << 62))), f"ngram-at-{k}")
+        # pairs that need no more than k common tokens cannot be left to longer keys
+        now = at.filter(~F.col("large") | (least_overlap(F.col("n"), percent) <= k))
+        x = now.filter("comp <> main").select("key", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("comp").alias("cx"), F.col("before").alias("bx"))
+        y = now.select("key", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("inner"),
+                       "large", F.col("before").alias("by"))
+        meet = ((F.col("cx") != F.col("cy")) & (F.col("inner") | (F.col("x") < F.col("y"))) & near_sizes("nx", "ny", percent)
+                & (~F.col("large") | ((F.col("nx") + F.col("ny")) * percent <= k * (100 + percent)))
+                & first_common("ax", "nx", "ay", "ny", percent, k) & ~F.arrays_overlap("bx", "by"))
+        found.append(common.materialize(x.join(y, "key").filter(meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), f"ngram-pairs-{k}"))
+        longer = at.filter("large")
+        if k == most or longer.isEmpty():
+            break
+        # the key with each later token of the prefix, which may stand a place further each turn
+        grown = longer.select("rid", "n", "comp", "key", "at", "before").join(order.select("rid", "prefix", "pre"), "rid")
+        grown = grown.withColumn("e", F.explode(F.filter("pre", lambda x: (x["at"] > F.col("at")) & (x["at"] < F.col("prefix") + F.lit(k)))))
+        between = F.transform(F.filter("pre", lambda x: (x["at"] > F.col("at")) & (x["at"] < F.col("e")["at"])), lambda x: x["token"])
+        level = grown.select("rid", "n", "comp", F.xxhash64("key", "e.token").alias("key"), F.col("e.at").alias("at"), F.concat("before", between).alias("before"))
+    return common.union_all(found).distinct()
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     return join_sets(common.table(spark, sf_dir, "documents")).drop("key")

@@ -169,18 +169,19 @@ def brute_join(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("frequent", [64, 1])
-def test_ngram_join(spark, texts, frequent):
+@pytest.mark.parametrize(("frequent", "percent"), [(64, 85), (1, 85), (1, 40)])
+def test_ngram_join(spark, texts, frequent, percent):
+    """With frequent=1 keys grow to four tokens."""
     rng = random.Random(4)
     base = words(rng, 300).split(" ")
-    rows = [r for r in texts if r[0] != 16]
+    rows = texts + [(200 + i, " ".join(rng.choices(["u", "v", "w", "x"], k=rng.randint(4, 7)))) for i in range(30)]
     for i in range(40):  # copies of one text about the threshold, most too far from each other
         copy = list(base)
         for _ in range(rng.randint(3, 14)):
             copy[rng.randrange(300)] = f"w{rng.randrange(50)}"
         rows.append((100 + i, " ".join(copy)))
-    want = brute_join(rows, 4, 85)
-    out = ngram_join.join_sets(docs_of(spark, rows), frequent=frequent)
+    want = brute_join(rows, 4, percent)
+    out = ngram_join.join_sets(docs_of(spark, rows), frequent=frequent, percent=percent, sampled=0.18 if percent == 85 else 0.7)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect() if r.doc_id is not None}
     assert got == want and out.count() == len(rows)
 
