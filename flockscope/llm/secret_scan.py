@@ -33,9 +33,9 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WINDOW = 20
 CLASSES = (("^[0-9A-Fa-f]+$", 2.95), ("^[A-Za-z0-9]+$", 3.45), ("^.*$", 3.65))
 #: Forms that are no secrets: words and snake or kebab names, numbers and dates,
-#: UUIDs, paths of words, placeholders.
+#: UUIDs, paths of words, short strings with a placeholder in them.
 ALLOWED = (r"^[A-Za-z_/+-]+$", r"^[0-9_/+-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-           r"^([A-Za-z]+[0-9]{0,2}[-_/])+[A-Za-z]*[0-9]{0,4}$", r"(?i)(example|placeholder|changeme|xxxx|0000)")
+           r"^([A-Za-z]+[0-9]{0,2}[-_/])+[A-Za-z]*[0-9]{0,4}$", r"(?i)^.{0,40}(example|placeholder|changeme|xxxx|0000).{0,40}$")
 
 
 def running(values: Column) -> Column:
@@ -60,12 +60,23 @@ def spans(hit: Column, order: int, keep) -> Column:
     return F.filter(placed, lambda x: keep(x["what"]))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def entropy(word: Column) -> Column:
-    """The largest Shannon entropy, in bits, of a window of WINDOW characters of ``word``."""
-    chars = F.split(word, "")
-    places = F.transform(chars, lambda c: F.array_position(F.array_distinct(chars), c).cast("int") - 1)
+    """The largest Shannon entropy, in bits, of a window of WINDOW characters of ``word``.
+
+    Its cost is the word's length times that of its alphabet: characters are numbered once,
+    and each step carries their counts on."""
+    return bound(F.split(word, ""), lambda chars: bound(F.array_distinct(chars), lambda alphabet: bound(
+        F.transform(chars, lambda c: F.array_position(alphabet, c).cast("int") - 1), lambda places: _slid(places, alphabet))))
+
+
+def _slid(places: Column, alphabet: Column) -> Column:
     f = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    start = F.struct(F.transform(F.array_distinct(chars), lambda c: F.lit(0)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    start = F.struct(F.transform(alphabet, lambda c: F.lit(0)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
 
     def slide(acc: Column, at: Column) -> Column:
         # at: the place of the character that enters and that of the one that leaves, or -1
@@ -84,11 +95,18 @@ def entropy(word: Column) -> Column:
     return F.aggregate(steps, start, slide, lambda acc: acc["best"])
 
 
+def path_of_words(word: Column) -> Column:
+    """What ALLOWED[3] matches, part by part: a regular expression with a repeated group fails on very long words for want of stack."""
+    parts = F.split(word, "[-_/]")
+    whole = F.forall(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: x.rlike("^[A-Za-z]+[0-9]{0,2}$"))
+    return (F.size(parts) > 1) & whole & F.element_at(parts, -1).rlike("^[A-Za-z]*[0-9]{0,4}$")
+
+
 def suspicious(word: Column) -> Column:
     """Whether a candidate's form is not allow-listed and its entropy reaches its class's threshold."""
     allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | word.rlike(pattern)
+    for i, pattern in enumerate(ALLOWED):
+        allowed = allowed | (path_of_words(word) if i == 3 else word.rlike(pattern))
     least = F.lit(99.0)
     for pattern, bits in reversed(CLASSES):
         least = F.when(word.rlike(pattern), F.lit(bits)).otherwise(least)

@@ -356,6 +356,15 @@ def test_secrets(spark):
     assert secret_scan.scan(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_in_very_long_runs(spark):
+    """Candidates of 100,000 characters cost seconds, and long paths need no stack."""
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(1, "".join(rng.choices(alphabet, k=100_000))), (2, "ab1-" * 30_000 + "x"), (3, "ab1-" * 30_000 + "12345"), (4, "a/" * 60_000), (5, "abc1_" * 5 + "x77")]
+    got = {r.doc_id: r.extra for r in secret_scan.scan(docs_of(spark, rows)).collect()}
+    assert [(x.start, x.end) for x in got[1]] == [(0, 100_000)] and not got[2] and not got[4] and not got[5]
+
+
 def test_entropy_by_increments(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choices("abcdXYZ0123456789"[: rng.randint(1, 17)], k=rng.randint(20, 60))) for _ in range(40)]
