@@ -26,6 +26,7 @@ result; all columns of the input are kept, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,12 +89,15 @@ def _leaves(least: int, depth: int, recurs: int):
 
 
 def _hot_lines(least: int, depth: int):
-    """Of the documents' lines in hot leaves: leaf, hash of the masked line, the places of all equal ones, the tokens' hashes (null where the leaf has one line only)."""
+    """Of the documents' lines in hot leaves: leaf, hash of the masked line, the places of all equal ones, the tokens' hashes (null where the leaf has one line only);
+    ``again`` holds, at a document's first line of a leaf, the fields that others of its lines there repeat, and how often."""
+    field = pa.struct([("at", pa.int32()), ("field", pa.int64()), ("times", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "key", "leaf", "line", "places", "fields")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "key", "leaf", "line", "places", "fields", "again")}
             for doc_id, key, text, hot in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), texts.as_bytes(b.column("text")),
                                               b.column("hot").to_pylist(), strict=True):
                 hot = {x["leaf"]: x["alone"] for x in hot}
@@ -105,11 +109,15 @@ def _hot_lines(least: int, depth: int):
                         name = (leaf, line_of(words))
                         own.setdefault(name, []).append(i)
                         words_of[name] = words
+                fields_of = {x: [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words_of[x]] for x in own if not hot[x[0]]}
+                seen: dict[int, Counter] = {}
+                for (leaf, _), fields in fields_of.items():
+                    seen.setdefault(leaf, Counter()).update(enumerate(fields))
                 for (leaf, line), places in own.items():
-                    fields = None if hot[leaf] else [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words_of[leaf, line]]
-                    for k, v in zip(out, (doc_id, key, leaf, line, places, fields), strict=True):
+                    again = [{"at": i, "field": f, "times": n - 1} for (i, f), n in seen.pop(leaf, {}).items() if n > 1]
+                    for k, v in zip(out, (doc_id, key, leaf, line, places, fields_of.get((leaf, line)), again), strict=True):
                         out[k].append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(field)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
@@ -124,13 +132,16 @@ def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least
               .filter(F.col("docs") >= F.col("need")).select("leaf", "alone"))
     hot = posted.select("key", "leaf").join(shared, "leaf").groupBy("key").agg(F.collect_list(F.struct("leaf", "alone")).alias("hot"))
     lines = (head.join(hot, "key").dropDuplicates(["key"]).select("doc_id", "key", "text", "hot")
-             .mapInArrow(_hot_lines(least_tokens, depth), "doc_id long, key long, leaf long, line long, places array<int>, fields array<long>"))
+             .mapInArrow(_hot_lines(least_tokens, depth), "doc_id long, key long, leaf long, line long, places array<int>, fields array<long>, again array<struct<at: int, field: long, times: long>>"))
     lines = common.materialize(lines, "line-hot")
     # the distinct masked lines of a leaf, with the number of documents that hold each
     kinds = lines.filter("fields is not null").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("fields").alias("fields"))
     kinds = common.materialize(kinds, "line-kinds")
     fields = kinds.select("leaf", "line", "docs", F.posexplode("fields").alias("at", "field"))
-    fixed = fields.groupBy("leaf", "at", "field").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min(recurs, min_docs))
+    # a document counts once for a field, however many of its lines have it
+    less = lines.select("leaf", F.inline("again")).select("leaf", "at", "field", (-F.col("times")).alias("docs"))
+    fixed = (fields.select("leaf", "at", "field", "docs").unionByName(less).groupBy("leaf", "at", "field").agg(F.sum("docs").alias("n"))
+             .filter(F.col("n") >= min(recurs, min_docs)))
     place = F.struct("at", "field")
     tokens = F.col("tokens")
     templates = (fields.join(fixed, ["leaf", "at", "field"]).groupBy("leaf", "line")
@@ -142,35 +153,48 @@ def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least
     templates = common.materialize(templates, "line-templates")
     found = lines.filter("fields is not null").join(templates, ["leaf", "line"]).select("template", "key", "doc_id", "places")
     found = found.unionByName(lines.filter("fields is null").select(F.xxhash64("leaf", "line").alias("template"), "key", "doc_id", "places"))
+    found = common.materialize(found, "line-found")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", F.array_min("places").alias("line"))
     first = (found.groupBy("template", "key").agg(F.min(place).alias("first")).groupBy("template")
              .agg(F.count(F.lit(1)).alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= recurs))
-    first = first.select(F.col("template").alias("_t"), F.col("first.key").alias("_key"), F.col("first.line").alias("_line"))
+    # written, so that the join has two plain sides and Spark can split a template that most documents share
+    first = common.materialize(first.select(F.col("template").alias("_t"), F.col("first.key").alias("_key"), F.col("first.line").alias("_line")), "line-first")
     gone = found.join(first, F.col("template") == F.col("_t")).select(
         "key", F.explode("places").alias("line"), "_key", "_line").filter((F.col("key") != F.col("_key")) | (F.col("line") != F.col("_line")))
     return gone.groupBy("key").agg(F.collect_list("line").alias("drop"))
 
 
 def dedup(docs: DataFrame, min_docs: int = 3, depth: int = 3, constant: float = 0.6, least_tokens: int = 5, recurs: int = 2) -> DataFrame:
-    """The rows of ``docs`` with recurring lines taken out of ``text``, and the columns _n_lines, _n_dropped."""
-    drop = recurring(docs, min_docs, depth, constant, least_tokens, recurs).select(F.col("key").alias("_key"), F.col("drop").alias("_drop"))
+    """The rows of ``docs`` with recurring lines taken out of ``text``, and two columns behind: the
+    lines, ``_n_lines``, and those dropped, ``_n_dropped`` (with more underscores where ``docs`` has these names)."""
+    drop = recurring(docs, min_docs, depth, constant, least_tokens, recurs).select(F.col("key").alias("gone_key"), "drop")
     names = docs.columns
-    joined = docs.withColumn("_row_key", common.row_key()).join(drop, F.col("_row_key") == F.col("_key"), "left").drop("_row_key", "_key")
+    quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    # the caller's row travels as one column, so that no name of its meets those of the join
+    rows = docs.select(F.struct(*quoted).alias("row"), common.row_key().alias("key"))
+    joined = rows.join(drop, F.col("key") == F.col("gone_key"), "left").select("row", "drop")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(texts.as_bytes(b.column("text")), b.column("_drop").to_pylist(), strict=True):
+            cols = dict(zip(names, b.column("row").flatten(), strict=True))
+            for text, drop in zip(texts.as_bytes(cols["text"]), b.column("drop").to_pylist(), strict=True):
                 lines = [] if text is None else text.split(b"\n")
                 gone = set(drop or ())
                 kept.append(text if not gone else b"\n".join([x for i, x in enumerate(lines) if i not in gone]))
                 n_lines.append(len(lines))
                 n_dropped.append(len(gone))
-            cols = [pa.array(kept, pa.binary()).cast(pa.string()) if n == "text" else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
-
-    shape = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    return joined.mapInArrow(run, shape)
+            cols["text"] = pa.array(kept, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], added.names)
+
+    taken = {n.lower() for n in names}
+    counts = []
+    for name in ("_n_lines", "_n_dropped"):
+        while name in taken:
+            name = f"_{name}"
+        counts.append(T.StructField(name, T.LongType()))
+    added = T.StructType([*docs.schema.fields, *counts])
+    return joined.mapInArrow(run, added)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:

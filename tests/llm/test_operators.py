@@ -119,6 +119,75 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {i: "\n".join(x for x in t.split("\n") if i == 0 or x not in gone) for i, t in rows}
 
 
+def brute_lines(rows, min_docs=3, depth=3, constant=0.6, least=5, recurs=2):
+    """doc_id -> numbers of the lines that go, straight from the definition."""
+    from itertools import groupby
+
+    lines = []  # (leaf, tokens, document, line number, documents that it needs)
+    for d, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            words_ = line.encode().split()
+            if not words_:
+                continue
+            if len(words_) < least:
+                lines.append((("short", *words_), words_, d, i, recurs << (least - len(words_))))
+            else:
+                words_ = [b"<*>" if any(48 <= c <= 57 for c in w) else w for w in words_]
+                lines.append(((len(words_), *words_[:depth]), words_, d, i, recurs))
+    gone = {d: set() for d, _ in rows}
+    templates = {}
+    for leaf, group in groupby(sorted(lines, key=lambda x: str(x[0])), key=lambda x: x[0]):
+        group = list(group)
+        if len({x[2] for x in group}) < group[0][4]:
+            continue
+        docs_with = {}
+        for _, w, d, _, _ in group:
+            for at in enumerate(w):
+                docs_with.setdefault(at, set()).add(d)
+        alone = len({tuple(w) for _, w, *_ in group}) == 1
+        for _, w, d, i, _ in group:
+            fixed = tuple(x for x in enumerate(w) if len(docs_with[x]) >= min_docs)
+            close = tuple(x for x in enumerate(w) if len(docs_with[x]) >= min(recurs, min_docs))
+            behind = sum(at >= depth for at, _ in close)
+            held = tuple(enumerate(w)) if alone else fixed if len(fixed) >= len(w) * constant else close if behind >= (len(w) - depth) * constant else None
+            if held is not None:
+                templates.setdefault((leaf, held), []).append((d, i))
+    for found in templates.values():
+        if len({d for d, _ in found}) >= recurs:
+            for d, i in sorted(found)[1:]:
+                gone[d].add(i)
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_brute_force(spark, seed):
+    """Also with documents that have several lines in a leaf: each counts once for a field."""
+    rng = random.Random(seed)
+    heads = [words(rng, 3) for _ in range(4)]
+    pool = ["all rights", "end", "a b c d"] + [f"{rng.choice(heads)} {words(rng, rng.randint(2, 4))}" for _ in range(25)]
+    rows = []
+    for i in range(60):
+        own = [f"{rng.choice(heads)} {rng.choice(['x', 'y', 'z'])} {rng.choice(['u', 'v'])} {rng.choice(['p', 'q', words(rng, 1)])} {rng.randint(0, 3)}" for _ in range(rng.randint(0, 6))]
+        lines = rng.sample(pool, 5) + own + ["", "  "]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    want = brute_lines(rows)
+    out = line_dedup.dedup(docs_of(spark, rows)).collect()
+    for r in out:
+        text = dict(rows)[r.doc_id].split("\n")
+        assert r.text == "\n".join(x for i, x in enumerate(text) if i not in want[r.doc_id]), r.doc_id
+    assert sum(map(len, want.values())) > 50
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["doc_id", "text", "_key", "_drop", "_row_key", "_n_lines", "_n_dropped", "row", "drop", "key", "gone_key", "a b", "lines"]
+    rows = [(i, "one line that recurs in all of them\nown " + "abcdefgh"[i], *range(len(names) - 2)) for i in range(4)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, names))
+    assert out.columns == [*names, "__n_lines", "__n_dropped"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[i]["__n_dropped"] for i in range(4)] == [0, 1, 1, 1] and got[3]["a b"] == 9 and got[2]["_n_lines"] == 3
+
+
 # 3 toxicity
 
 def test_toxicity(spark):
