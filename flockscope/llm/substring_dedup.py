@@ -284,7 +284,8 @@ def dedup(docs: DataFrame, window: int = 200, gram: int = 80, most: int = 20_000
     head = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.row_key().alias("key"), F.col("text").cast("string").alias("text"))
     rows = common.materialize(marked(head, window, gram), "sub-marks")
     posted = rows.select("key", F.explode("marks").alias("fp"))
-    shared = posted.groupBy("fp").count().filter("count > 1").select("fp")
+    # written, so that the join has two plain sides and Spark can split an anchor that most documents share
+    shared = common.materialize(posted.groupBy("fp").count().filter("count > 1").select("fp"), "sub-shared")
     hot = posted.join(shared, "fp").groupBy("key").agg(F.collect_set("fp").alias("shared"))
     times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     hot = hot.join(times, "key")
@@ -296,7 +297,7 @@ def dedup(docs: DataFrame, window: int = 200, gram: int = 80, most: int = 20_000
     groups = common.materialize(runs.groupBy(*same).agg(F.sum("rows").alias("times"), F.min(F.struct("key", "first")).alias("rep")), "sub-groups")
     twice = runs.join(groups.filter("times > 1").select(*same), same, "left_semi").select("key", "first", (F.col("first") + F.col("n")).alias("end"))
     # anchors of which contexts differ, by one context of each kind
-    several = groups.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("fp")
+    several = common.materialize(groups.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("fp"), "sub-several")
     wanted = (groups.join(several, "fp").groupBy(F.col("rep.key").alias("key"))
               .agg(F.collect_list(F.struct("fp", F.col("rep.first").alias("first"), "n", "at", "times")).alias("wanted")))
     shards = (affected.select("key", "text").join(wanted, "key").select("key", "text", "wanted")
