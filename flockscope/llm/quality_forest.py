@@ -153,7 +153,11 @@ def judge(docs: DataFrame, labels: DataFrame, trees: int = 64, psi: int = 128, b
     stats = common.materialize(statistics(docs), "forest-stats")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    sample = stats.filter("not base_failed").orderBy(F.xxhash64("doc_id", F.lit(seed)), *stats.columns).limit(trees * psi).toPandas()
+    fine = stats.filter("not base_failed")
+    # about twice the rows wanted pass the hash, however many tasks there are
+    draw = F.xxhash64(*stats.columns, F.lit(seed))
+    drawn = fine.filter(common.unit(draw) < 2 * trees * psi / max(fine.count(), 1))
+    sample = drawn.orderBy(draw, *stats.columns).limit(trees * psi).toPandas()
     if sample.empty:
         return stats.withColumn("anomaly", F.array().cast("array<double>")).withColumn("kept", ~F.col("base_failed"))
     groups = [list(range(len(FEATURES))), *([k] for k in range(len(FEATURES)))]

@@ -4,7 +4,7 @@
    stand in many more toxic than clean documents.  Near copies in that sample count
    once, so that one copied document does not put its own words into the lexicon.
 2. ``VOTERS`` lexicon and pattern voters look at every document, in one pass over the
-   whole texts.  What they vote is one of at most 2**16 patterns.
+   whole texts.  What they vote is one of at most 2**18 patterns.
 3. A generative label model (two latent classes) learns from the patterns of all
    documents, by expectation maximisation, how often each voter fires in each class, and
    from the residual covariances how far voters repeat each other; a voter's evidence is
@@ -38,7 +38,10 @@ from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5)
-VOTERS = 16
+ODDS, SUPPORT = 20.0, 0.01
+#: Patterns that look at the text itself, whatever the lexicon: shouting, and words with letters masked.
+PATTERNS = (re.compile(r"[!?]{2}|\b[^\W\d_a-zà-ÿ]{4,}\s+[^\W\d_a-zà-ÿ]{4,}\b"), re.compile(r"[^\W\d_][*#@$]{2,}[^\W\d_]?"))
+VOTERS = 16 + len(PATTERNS)
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -92,8 +95,8 @@ class Lexicon:
                     out[i] += 1
         return out
 
-    def votes(self, words: list[str], hits: dict[int, int]) -> int:
-        """The voters that fire, as bits: 12 of the lexicon, by kind and third; 4 patterns."""
+    def votes(self, text: str | None, words: list[str], hits: dict[int, int]) -> int:
+        """The voters that fire, as bits: 12 of the lexicon, by kind and third; 4 of how often it is met; the patterns."""
         bits = 0
         for i in hits:
             bits |= 1 << self.group[self.names[i]]
@@ -101,6 +104,8 @@ class Lexicon:
         share = n / max(len(words), 1)
         for j, fires in enumerate((n >= 2, share > 0.002, share > 0.01, len(hits) >= 4)):
             bits |= fires << (12 + j)
+        for j, pattern in enumerate(PATTERNS):
+            bits |= (pattern.search(text or "") is not None) << (16 + j)
         return bits
 
     def row(self, words: list[str], hits: dict[int, int]) -> tuple[list[int], list[float]]:
@@ -110,7 +115,7 @@ class Lexicon:
         return [*idx, len(self.names)], [*(float(np.log1p(hits[i])) for i in idx), float(np.log1p(1000 * n / max(len(words), 1)))]
 
 
-def find_lexicon(counts: pd.DataFrame, n_toxic: int, n_clean: int, size: int, odds: float = 20.0, support: float = 0.01) -> Lexicon:
+def find_lexicon(counts: pd.DataFrame, n_toxic: int, n_clean: int, size: int, odds: float = ODDS, support: float = SUPPORT) -> Lexicon:
     """Of the features that at least a share ``support`` of the toxic rows have, and that are
     ``odds`` times as frequent there, the ``size`` with the largest likelihood ratio."""
     a, c = counts.toxic.to_numpy(float), counts.clean.to_numpy(float)
@@ -190,8 +195,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int
     usable = (labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
               .agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("other")).filter("toxic = other")
               .filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic"))
-    draw = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    ids = common.union_all(usable.filter(F.col("toxic") == y).orderBy(*draw).limit(fit_rows // 2) for y in (0, 1))
+    usable = common.materialize(usable, "toxic-usable")
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    n = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    # about fit_rows of each label pass the hash, however many tasks there are, and half of them are taken
+    ids = common.union_all(usable.filter((F.col("toxic") == y) & (common.unit(draw) < fit_rows / max(n.get(y, 0), 1))).orderBy(draw, "doc_id").limit(fit_rows // 2)
+                           for y in (0, 1))
     # at most fit_rows rows of two numbers
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     picked = text.join(F.broadcast(ids), "doc_id").select("text", "toxic")
@@ -201,7 +210,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, seed: int
             keys = [sketch(words_of(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("toxic"), pa.array(keys, pa.int64())], ["text", "toxic", "sketch"])
 
-    return picked.mapInArrow(mark, "text string, toxic int, sketch long").dropDuplicates(["sketch"]).select("text", "toxic")
+    # of rows with one sketch the one with the least hash stays, so that reruns learn the same
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "toxic", "text")).alias("m")
+    return picked.mapInArrow(mark, "text string, toxic int, sketch long").groupBy("sketch").agg(first).select("m.text", "m.toxic")
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, lexicon_size: int = 256, seed: int = 11) -> DataFrame:
@@ -215,8 +226,8 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, lexicon_size
                            F.lit(0.0).alias("posterior"))
     counted = (sample.mapInArrow(_featurize, "feature string, toxic long, clean long").groupBy("feature")
                .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    # candidates: the most frequent in toxic rows, a clean row weighing as the least odds ask
-    counts = counted.orderBy((F.col("toxic") * F.lit(n[0]) - 20 * F.col("clean") * F.lit(n[1])).desc(), "feature").limit(8 * lexicon_size).toPandas()
+    # features of a share SUPPORT of the toxic rows: at most what a document holds, over that share
+    counts = counted.filter((F.col("toxic") >= max(3.0, SUPPORT * n[1])) & ((F.col("toxic") + 0.5) / (n[1] + 1) >= 0.99 * ODDS * (F.col("clean") + 0.5) / (n[0] + 1))).toPandas()
     lexicon = find_lexicon(counts, n[1], n[0], lexicon_size)
     shared = spark.sparkContext.broadcast(lexicon)  # at most lexicon_size features
 
@@ -227,7 +238,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, lexicon_size
             for text in b.column("text").to_pylist():
                 ws = words_of(text)
                 hits = own.hits(ws)
-                bits.append(own.votes(ws, hits))
+                bits.append(own.votes(text, ws, hits))
                 i, v = own.row(ws, hits)
                 cols.append(i)
                 vals.append(v)
