@@ -289,14 +289,59 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_quantisation_bounds_hold():
+@pytest.mark.parametrize("dim", [32, 1500])
+def test_quantisation_bounds_hold(dim):
+    """What the codes call sure is, what they leave out is not, and they leave little open."""
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((200, 32))
+    x = rng.standard_normal((200, dim)) + rng.standard_normal(dim)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    for t in (0.2, 0.0, 0.4):
-        pairs = {(int(r), int(c)) for rs, cs in embedding_dedup.links(x[:100], x[100:], t, False) for r, c in zip(rs, cs, strict=True)}
-        exact = np.einsum("ij,kj->ik", x[:100], x[100:]) >= t
-        assert pairs == set(zip(*map(list, map(lambda a: a.tolist(), np.nonzero(exact))), strict=True))
+    cos = x[:100] @ x[100:].T
+    a, b = (embedding_dedup.Codes.unpacked(*embedding_dedup.Codes.of(y).packed()) for y in (x[:100], x[100:]))
+    for t in (*np.quantile(cos, [0.1, 0.5, 0.99]), 0.0, cos.max()):
+        r, c, unsure = map(np.concatenate, zip(*embedding_dedup.links(a, b, t, False), strict=True))
+        found = set(zip(r.tolist(), c.tolist(), strict=True))
+        exact = set(zip(*(i.tolist() for i in np.nonzero(cos >= t)), strict=True))
+        assert len(found) == len(r) and exact <= found and found - exact <= set(zip(r[unsure].tolist(), c[unsure].tolist(), strict=True))
+        assert unsure.sum() < 100
+
+
+def test_embedding_open_pairs_are_computed_again(spark, monkeypatch):
+    """With bounds widened far beyond need all pairs near the threshold go through the vectors themselves."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((80, 8))
+    x[40:] = x[:40] + rng.uniform(0, 0.5, (40, 1)) * rng.standard_normal((40, 8))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = [(i, int(((x @ v) / np.linalg.norm(x, axis=1) / np.linalg.norm(v) >= 0.95).sum()) - 1) for i, v in enumerate(x)]
+    assert rows_of(embedding_dedup.dedup(d), "vec_id", "n_links") == sorted(want, key=str)
+    real = embedding_dedup._tile
+
+    def all_open(pdf, threshold):
+        import flockscope.llm.embedding_dedup as module
+
+        module.SLACK = 0.3
+        return real(pdf, threshold)
+
+    monkeypatch.setattr(embedding_dedup, "_tile", all_open)
+    assert rows_of(embedding_dedup.dedup(d), "vec_id", "n_links") == sorted(want, key=str)
+
+
+def test_near_blocks_keep_every_link():
+    """Block pairs left out by centres and radii hold no pair at the threshold."""
+    import math
+
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    blocks = []
+    for _ in range(40):
+        x = rng.standard_normal(6) + rng.uniform(0.02, 0.6) * rng.standard_normal((12, 6))
+        blocks.append(x / np.linalg.norm(x, axis=1)[:, None])
+    mid = [x.mean(0) / np.linalg.norm(x.mean(0)) for x in blocks]
+    radii = [math.acos(min(1.0, float((x @ m).min()))) for x, m in zip(blocks, mid, strict=True)]
+    near = pd.concat(embedding_dedup._near_blocks(pd.DataFrame({"group": [0], "blocks": [list(range(40))], "radii": [radii], "centres": [mid]}), 0.95))
+    kept = set(zip(near.x.tolist(), near.y.tolist(), strict=True))
+    linked = {(i, j) for i in range(40) for j in range(i, 40) if (blocks[i] @ blocks[j].T).max() >= 0.95}
+    assert linked <= kept and len(kept) < 700
 
 
 # 6 quality
