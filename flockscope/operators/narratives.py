@@ -2,44 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 
 from flockscope.functions import scalars as S
 from flockscope.operators import graph
+from flockscope.sources.shared import settle
 
 # Words that are no keywords.
 STOP_WORDS = ("the", "and", "of", "to", "in", "is", "that", "it", "for", "on", "with", "as", "was", "at", "by", "an", "be", "this", "from", "or",
               "le", "la", "les", "de", "des", "du", "un", "une", "et", "en", "que", "qui", "dans", "pour", "par", "sur", "au", "avec", "est", "ce")
 
 
-def similar_pairs(vectors: DataFrame, least: float, method: str = "exact", blocks: int = 16, tables: int = 6, bucket: float = 1.0) -> DataFrame:
-    """Pairs (a, b, score) with a > b and cosine >= ``least`` of vectors(id, v).
-
-    ``exact`` compares blocks: each vector meets every vector, spread over blocks**2 / 2
-    groups whose size the number of blocks sets.  ``lsh`` compares only what random
-    projections put together and can miss pairs.
+#: Vectors of a block; two of them and a strip of their product are what a task holds.
+BLOCK = 4096
+STRIP = 1024
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block's unit vectors in one row; vectors without a direction are like none."""
+    x = np.stack([np.asarray(v, np.float64) for v in pdf["v"]])
+    length = np.linalg.norm(x, axis=1)
+    ok = np.isfinite(length) & (length > 0)
+    x = x[ok] / length[ok, None]
+    return pd.DataFrame({"k": [pdf["k"].iloc[0]], "ids": [pdf["id"].to_numpy()[ok]], "data": [x.tobytes()]})
+
+
+def _tile(pdf: pd.DataFrame, least: float, best: bool) -> pd.DataFrame:
+    """Of one block or two: the pairs (a, b, score), a > b, of at least ``least``; with ``best`` only each a's first."""
+    blocks = [(np.asarray(r.ids, np.int64), np.frombuffer(r.data, np.float64).reshape(max(len(r.ids), 1), -1)[: len(r.ids)]) for r in pdf.sort_values("k").itertuples()]
+    (ia, x), (ib, y), same = blocks[0], blocks[-1], len(blocks) == 1
+    found = []
+    for lo in range(0, len(ia), STRIP):
+        score = x[lo : lo + STRIP] @ y.T
+        r, c = np.nonzero(score >= least - 1e-12)
+        one, two, value = ia[lo + r], ib[c], np.round(score[r, c], 12)
+        keep = (one > two) if same else one != two
+        found.append(pd.DataFrame({"a": np.maximum(one, two)[keep], "b": np.minimum(one, two)[keep], "score": value[keep]}))
+        if best:
+            found = [pd.concat(found).sort_values(["a", "score", "b"], ascending=[True, False, True]).drop_duplicates("a")]
+    out = pd.concat(found) if found else pd.DataFrame({"a": [], "b": [], "score": []})
+    return out[out["score"] >= least]
+
+
+def similar_pairs(vectors: DataFrame, least: float, method: str = "exact", tables: int = 6, bucket: float = 1.0, best: bool = False) -> DataFrame:
+    """Pairs (a, b, score) with a > b and cosine >= ``least`` of vectors(id, v) of one length; with ``best`` only those
+    among which each a's most similar b is.
+
+    ``exact`` multiplies blocks of vectors, of which there are as many as the vectors ask
+    for, each pair of blocks once.  ``lsh`` compares only what random projections put
+    together and can miss pairs.
     """
     if method == "lsh":
         dense = vectors.select("id", "v", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("f"))
         model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(dense)
         near = model.approxSimilarityJoin(dense, dense, (2 - 2 * least) ** 0.5 + 1e-6, "d").filter("datasetA.id > datasetB.id")
         pairs = near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.v").alias("va"), F.col("datasetB.v").alias("vb"))
-    else:
-        v = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("k"))
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("k").alias("x"), every.alias("y"))
-        right = v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("k").alias("y"), every.alias("x"))
-        pairs = left.join(right, ["x", "y"]).filter("a > b")
-    return pairs.withColumn("score", S.cosine(F.col("va"), F.col("vb"))).filter(F.col("score") >= least).select("a", "b", "score")
+        return pairs.withColumn("score", S.cosine(F.col("va"), F.col("vb"))).filter(F.col("score") >= least).select("a", "b", "score")
+    v = vectors.filter("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    n = v.count()
+    blocks = max(1, -(-n // BLOCK), min(6, n // 256))
+    packed = v.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("k").applyInPandas(_pack, "k int, ids array<long>, data binary")
+    # each block goes to the tiles that it is a side of
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = settle(packed).withColumn("o", other).withColumn("tile", F.concat_ws(":", F.least("k", "o"), F.greatest("k", "o"))).select("tile", "k", "ids", "data")
+    tiles = min(blocks * (blocks + 1) // 2, 1 << 16)
+    return dealt.repartition(tiles, "tile").groupBy("tile").applyInPandas(lambda pdf: _tile(pdf, least, best), "a long, b long, score double")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95, method: str = "exact") -> DataFrame:
     """Each vector's most similar earlier one, the first of equals."""
     best = F.max(F.struct("score", (-F.col("b")).alias("n")))
-    return similar_pairs(vectors, least, method).groupBy(F.col("a").alias("id")).agg(best.alias("m")).select("id", (-F.col("m.n")).alias("duplicate_of"), F.col("m.score").alias("score"))
+    pairs = similar_pairs(vectors, least, method, best=True)
+    return pairs.groupBy(F.col("a").alias("id")).agg(best.alias("m")).select("id", (-F.col("m.n")).alias("duplicate_of"), F.col("m.score").alias("score"))
 
 
 def exact_duplicates(docs: DataFrame, key: str, content: str) -> DataFrame:
@@ -51,7 +94,7 @@ def density_clusters(vectors: DataFrame, least: float, min_samples: int = 3, min
 
     An approximation of hierarchical density clustering at one level of similarity.
     """
-    pairs = similar_pairs(vectors, least).select(F.col("b").alias("src"), F.col("a").alias("dst"))
+    pairs = settle(similar_pairs(vectors, least).select(F.col("b").alias("src"), F.col("a").alias("dst")))
     core = graph.degrees(pairs).filter(F.col("degree") >= min_samples).select("id")
     inner = pairs.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
     comp = graph.connected_components(core, inner)
@@ -65,27 +108,49 @@ def centroids(vectors: DataFrame, cluster: str) -> DataFrame:
     return vectors.select(F.col(cluster).alias("cluster"), F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch], ngrams: int) -> Iterator[pa.RecordBatch]:
+    """Each document's terms and how often it has them."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    for b in batches:
+        rows = []
+        for words in b.column("w").to_pylist():
+            own = Counter(words)
+            if ngrams == 2:
+                own.update(map(" ".join, zip(words, words[1:], strict=False)))
+            rows.append([{"term": t, "tf": n} for t, n in own.items()])
+        yield pa.RecordBatch.from_arrays([b.column("cluster"), pa.array(rows, kind)], ["cluster", "terms"])
+
+
 def keywords(docs: DataFrame, cluster: str, text: str, key: str, k: int = 8, min_df: int = 2, ngrams: int = 2, least_chars: int = 5) -> DataFrame:
     """(cluster, term, weight, place): the k terms with the largest mean tf-idf of each cluster.
 
     Words of two letters or more without stop words, and their pairs; idf is
     ln((1 + n) / (1 + df)) + 1 within the cluster; documents' rows have length 1.
+    A document's terms are counted where it is read and stay together but for one join with
+    their idf, for which the terms of fewer than ``min_df`` documents are left out.
     """
-    d = docs.filter(F.length(text) > least_chars).select(F.col(cluster).alias("cluster"), F.col(key).alias("_id"), F.lower(text).alias("_t"))
+    d = docs.filter(F.length(text) > least_chars).select(F.col(cluster).alias("cluster"), F.lower(text).alias("_t"))
     words = F.filter(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    d = d.select("cluster", "_id", words.alias("w"))
-    grams = F.col("w")
-    if ngrams == 2:
-        pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        grams = F.concat("w", pairs)
-    tf = d.select("cluster", "_id", F.explode(grams).alias("term")).groupBy("cluster", "_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    kind = docs.schema[cluster].dataType.simpleString()
+    counted = (d.select("cluster", words.alias("w")).mapInArrow(lambda it: _frequencies(it, ngrams), f"cluster {kind}, terms array<struct<term: string, tf: bigint>>")
+               .withColumn("doc", F.monotonically_increasing_id()))
+    counted = settle(counted)
+    n = counted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    tf = counted.select("cluster", "doc", F.inline("terms"))
     df = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     idf = df.join(n, "cluster").select("cluster", "term", "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = tf.join(idf, ["cluster", "term"]).withColumn("x", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("cluster", "_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    mean = w.join(norm, ["cluster", "_id"]).groupBy("cluster", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")) / F.max("n"), 6).alias("weight"))
-    return mean.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))).filter(F.col("place") <= k)
+    w = tf.join(idf, ["cluster", "term"]).select("cluster", "doc", "term", "n", (F.col("tf") * F.col("idf")).alias("x"))
+    rows = w.groupBy("cluster", "doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.struct("term", "x", "n")).alias("terms"))
+    mean = rows.select("cluster", "norm", F.inline("terms")).groupBy("cluster", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")) / F.max("n"), 6).alias("weight"))
+    return top_places(mean, "cluster", F.struct((-F.col("weight")).alias("_w"), F.col("term"), F.col("weight")), k).select("cluster", "_v.term", "_v.weight", "place")
+
+
+def top_places(rows: DataFrame, group: str, value, k: int, salt: int = 64) -> DataFrame:
+    """(group, _v, place): the k least ``value`` of each group, first in ``salt`` parts of it, so that no task sorts a whole group."""
+    part = rows.select(group, value.alias("_v")).groupBy(group, F.pmod(F.xxhash64("_v"), F.lit(salt)).alias("_s"))
+    parts = part.agg(F.slice(F.array_sort(F.collect_list("_v")), 1, k).alias("_v")).select(group, F.explode("_v").alias("_v"))
+    best = parts.groupBy(group).agg(F.slice(F.array_sort(F.collect_list("_v")), 1, k).alias("_v"))
+    return best.select(group, F.posexplode("_v").alias("_p", "_v")).select(group, "_v", (F.col("_p") + 1).alias("place"))
 
 
 def narrative_labels(terms: DataFrame, first: int = 3) -> DataFrame:

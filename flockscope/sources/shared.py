@@ -11,5 +11,8 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` checkpointed to the session's ``spark.checkpoint.dir``; only a session that names none gets a folder of its own."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="flockscope-"))
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="flockscope-"))
     return df.checkpoint()

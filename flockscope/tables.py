@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flockscope.functions import scalars as S
@@ -21,8 +21,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     platform = F.element_at(F.array(*[F.lit(p) for p in S.PLATFORMS]), (F.col("user_id") % 4 + 1).cast("int"))
     score = F.col("value") / (F.col("value") + 25.0)
-    same = Window.partitionBy("event_type", "k", F.col("user_id") % 10)
-    first = F.min("event_id").over(same)
+    # one row a kind of post, summed up before it is shuffled; small enough to be joined without moving the posts
+    kind = ("event_type", "k", "_u")
+    e = e.withColumn("_u", F.col("user_id") % 10)
+    least = e.groupBy(*kind).agg(F.min("event_id").alias("_first")).select(*[F.col(c).alias(f"_{c}") for c in kind], "_first")
+    e = e.join(least, (F.col("event_type") == F.col("_event_type")) & F.col("k").eqNullSafe(F.col("_k")) & F.col("_u").eqNullSafe(F.col("__u")), "left")
+    first = F.col("_first")
     return e.select(
         F.col("event_id").alias("post_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("published_at"), platform.alias("platform"), "k",
         F.concat(F.col("event_type"), F.lit("-"), (F.col("k") % 10).cast("string")).alias("narrative_id"), F.col("event_type").alias("campaign_id"),
