@@ -159,3 +159,77 @@ def sentiment_label(label: Column) -> Column:
 def clean_nulls(col: Column) -> Column:
     """Empty text and the epoch's day are unknown."""
     return F.when((F.trim(col) == "") | col.startswith("1970-01-01"), F.lit(None)).otherwise(col)
+
+
+def plain_mean(scores: Sequence[Column]) -> Column:
+    """Mean of the scores that there are, 0 without any: what is used where models are not fused."""
+    there = F.filter(F.array(*scores), lambda x: x.isNotNull())
+    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there)).otherwise(F.lit(0.0))
+
+
+# Parts of labels that speak for made and for real media.
+MADE = ("artificial", "ai", "fake", "generated", "synthetic", "deepfake", "manipulated")
+REAL = ("real", "human", "authentic", "natural", "original", "not_ai", "notai")
+
+
+def ai_score(results: Column) -> Column:
+    """From array<struct<label, score>>: the score of the first label that speaks for made media, or one minus that of the first
+    that speaks for real media, whichever label comes first; else the second score, else the first."""
+    bare = lambda r: F.regexp_replace(F.lower(r["label"]), "[ _-]", "")
+    holds = lambda text, parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(text, p))
+    told = F.transform(results, lambda r: F.when(holds(bare(r), MADE), r["score"]).when(holds(bare(r), REAL), 1.0 - r["score"]))
+    second, first = F.get(results, F.lit(1))["score"], F.get(results, F.lit(0))["score"]
+    return F.coalesce(F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0)), second, first).cast("double")
+
+
+# Frequent words that tell the languages apart.
+FRENCH = ("le", "la", "les", "des", "une", "est", "et", "dans", "que", "qui", "pour", "pas", "sur", "avec", "ce", "sont", "nous", "vous", "du", "au")
+ENGLISH = ("the", "and", "of", "to", "is", "in", "that", "it", "for", "on", "with", "this", "are", "was", "be", "not", "you", "have", "from", "at")
+
+
+def language(text: Column, distance: float = 0.1) -> Column:
+    """fr, en or other: whose frequent words hold a larger share of the text's words, by ``distance`` of both together."""
+    words = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", " ")), " ")
+    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
+    fr, en = hits(FRENCH), hits(ENGLISH)
+    clear = F.abs(fr - en) >= distance * (fr + en)
+    return F.when((fr + en == 0) | ~clear, F.lit("other")).when(fr > en, F.lit("fr")).otherwise(F.lit("en"))
+
+
+def sentiment(text: Column, lang: Column, fr: tuple[Column, Column], en: tuple[Column, Column]) -> Column:
+    """struct<label, score, model>: neutral and 0 for texts of under three characters, else the French model's answer
+    (label, score) for French texts and the English one's for all others."""
+    short = F.length(F.trim(F.coalesce(text, F.lit("")))) < 3
+    made = lambda label, score, model: F.struct(label.alias("label"), score.cast("double").alias("score"), F.lit(model).alias("model"))
+    return (F.when(short, made(F.lit("neutral"), F.lit(0.0), "skipped")).when(lang == "fr", made(sentiment_label(fr[0]), fr[1], "fr"))
+            .otherwise(made(sentiment_label(en[0]), en[1], "en")))
+
+
+def from_half(raw: Column) -> Column:
+    """array<float> from little-endian half-precision bytes, two a component."""
+    word = lambda i: F.conv(F.hex(F.concat(F.substring(raw, i * 2 + 2, F.lit(1)), F.substring(raw, i * 2 + 1, F.lit(1)))), 16, 10).cast("int")
+
+    def value(w: Column) -> Column:
+        sign = F.when(w >= 32768, -1.0).otherwise(1.0)
+        power, rest = F.shiftright(w, 10).bitwiseAND(31), w.bitwiseAND(1023)
+        size = (F.when(power == 0, rest * 2.0**-24).when(power < 31, (1 + rest / 1024.0) * F.pow(F.lit(2.0), power - 15))
+                .when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        return (sign * size).cast("float")
+
+    n = F.floor(F.length(raw) / 2).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: value(word(i)))).otherwise(F.array().cast("array<float>"))
+
+
+def clean_deep(col: Column, kind) -> Column:
+    """``clean_nulls`` on every text in a column of any nested kind."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StringType):
+        return clean_nulls(col)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: clean_deep(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(col, lambda _, v: clean_deep(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[clean_deep(col[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return col

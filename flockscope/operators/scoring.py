@@ -22,13 +22,14 @@ def video_frames(frames: DataFrame) -> DataFrame:
 def calibrate_fp_first(scores: DataFrame) -> DataFrame:
     """scores(model, score, is_alt) to each model's bias and weight; false positives on real media cost most.
 
-    A model without alternated media gains nothing; one without real media keeps its full
-    factor; if no model gains anything all weigh the same.
+    A model without real media counts as wrong on all of them (mean 1, factor 0), one without altered
+    media as right on all (mean 0, factor 1); neither gains anything.  If no model does, all weigh the same.
     """
     alt, real = F.when(F.col("is_alt"), F.col("score")), F.when(~F.col("is_alt"), F.col("score"))
-    a = scores.groupBy("model").agg(F.coalesce(F.avg(real), F.lit(0.0)).alias("avg_real"), F.coalesce(F.avg(alt), F.lit(0.0)).alias("avg_alt"), F.count(real).alias("n_real"), F.count(alt).alias("n_alt"))
-    a = a.withColumn("fp_factor", F.when(F.col("n_real") == 0, 0.0).otherwise(F.pow(1 - F.col("avg_real"), F.lit(2.0))))
-    a = a.withColumn("margin", F.when((F.col("n_alt") == 0) | (F.col("n_real") == 0), 0.0).otherwise(F.col("avg_alt") - F.col("avg_real")))
+    a = scores.groupBy("model").agg(F.avg(real).alias("r"), F.avg(alt).alias("t"), F.count(real).alias("n_real"), F.count(alt).alias("n_alt"))
+    both = (F.col("n_real") > 0) & (F.col("n_alt") > 0)
+    a = a.select("model", F.when(both, F.col("r")).when(F.col("n_real") == 0, 1.0).otherwise(0.0).alias("avg_real"), F.when(both, F.col("t")).otherwise(0.0).alias("avg_alt"), "n_real", "n_alt")
+    a = a.withColumn("fp_factor", F.pow(1 - F.col("avg_real"), F.lit(2.0))).withColumn("margin", F.when(both, F.col("avg_alt") - F.col("avg_real")).otherwise(0.0))
     a = a.withColumn("score", F.greatest(F.lit(0.0), F.col("margin")) * F.col("fp_factor"))
     total, n = F.sum("score").over(Window.partitionBy()), F.count(F.lit(1)).over(Window.partitionBy())  # one row a model
     return a.withColumn("weight", F.when(total > 0, F.col("score") / total).otherwise(1.0 / n)).withColumn("bias", F.col("avg_real"))

@@ -85,8 +85,8 @@ def codes(checks: dict[str, Column]) -> Column:
 
 
 def clean_frame(df: DataFrame) -> DataFrame:
-    """``clean_nulls`` on every string column."""
-    return df.select(*[S.clean_nulls(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+    """``clean_nulls`` on every text of every column, also within structs, arrays and maps."""
+    return df.select(*[S.clean_deep(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def claim_jobs(jobs: DataFrame, workers: int, max_attempts: int = 3) -> DataFrame:
@@ -94,3 +94,93 @@ def claim_jobs(jobs: DataFrame, workers: int, max_attempts: int = 3) -> DataFram
     ready = jobs.filter(F.col("status").isin("pending", "retrying") & (F.col("attempts") < max_attempts)).orderBy("priority", "created_at", "job_id").limit(workers)
     place = F.row_number().over(Window.orderBy("priority", "created_at", "job_id"))  # of ``workers`` rows
     return ready.select("job_id", place.cast("long").alias("place"))
+
+
+def file_changes(listing: DataFrame, cursor: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Files (path, size, mtime in seconds) against the cursor: new, changed (another size, or a time off by ``tolerance`` or more), unchanged or gone."""
+    old = cursor.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    both = listing.select("path", "size", "mtime").join(old, "path", "full")
+    same = (F.col("size") == F.col("_size")) & (F.abs(F.col("mtime") - F.col("_mtime")) < tolerance)
+    change = F.when(F.col("size").isNull(), "gone").when(F.col("_size").isNull(), "new").when(same, "unchanged").otherwise("changed")
+    return both.select("path", change.alias("change"))
+
+
+def mark_done(cursor: DataFrame, listing: DataFrame, results: DataFrame) -> DataFrame:
+    """The cursor after a run: files with results(path, errors) and no error are entered as they are listed, vanished ones go, others stay as they were."""
+    clean = listing.join(results.filter("errors = 0").select("path"), "path", "left_semi").select("path", "size", "mtime")
+    rest = cursor.join(clean.select("path"), "path", "left_anti").join(listing.select("path"), "path", "left_semi").select("path", "size", "mtime")
+    return clean.unionByName(rest)
+
+
+def inbox_states(results: DataFrame) -> DataFrame:
+    """Where each file of results(path, ok, errors) goes: to done, or as .error.json back to the inbox if it has errors and nothing went well."""
+    failed = (F.col("errors") > 0) & (F.col("ok") == 0)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return results.select("path", F.when(failed, "inbox").otherwise("done").alias("state"), F.when(failed, F.concat(F.regexp_replace(name, r"\.json$", ""), F.lit(".error.json"))).otherwise(name).alias("name"))
+
+
+def nlp_patch(posts: DataFrame, results: DataFrame, key: str = "post_id") -> DataFrame:
+    """Posts with what an analysis found: results(key, label, score, narrative_id, is_duplicate_of, similarity_score); those without a result keep their state."""
+    found = results.select(key, F.struct(F.lit("done").alias("status"), "label", "score", "narrative_id", "is_duplicate_of", "similarity_score").alias("_new"))
+    out = posts.join(found, key, "left")
+    return out.select(*[c for c in posts.columns if c != "nlp"], F.coalesce("_new", "nlp").alias("nlp"))
+
+
+def sync_patch(rows: DataFrame, synced: DataFrame, key: str, target: str) -> DataFrame:
+    """Rows with the flag ``target`` set where they were synchronised."""
+    return rows.join(synced.select(key, F.lit(True).alias("_s")).distinct(), key, "left").withColumn(target, F.coalesce("_s", target, F.lit(False))).drop("_s")
+
+
+def reset_scores(rows: DataFrame, reset: Column, fields: tuple[str, ...] = ("final_score", "prediction", "divergence")) -> DataFrame:
+    """Rows to analyse again are pending and have no scores."""
+    hit = F.coalesce(reset, F.lit(False))
+    out = rows
+    for c in fields:
+        if c in rows.columns:
+            out = out.withColumn(f"_{c}", F.when(~hit, F.col(c)))
+    out = out.withColumn("status", F.when(hit, F.lit("pending")).otherwise(F.col("status")))
+    return out.select(*[F.col(f"_{c}").alias(c) if f"_{c}" in out.columns else F.col(c) for c in rows.columns])
+
+
+def purge(rows: DataFrame, gone: Column) -> DataFrame:
+    """What a selective delete leaves; where the condition is unknown the row stays."""
+    return rows.filter(~F.coalesce(gone, F.lit(False)))
+
+
+def heartbeats(pulses: DataFrame) -> DataFrame:
+    """The last pulse of each worker of each type: pulses(type, worker, at, status)."""
+    last = F.max(F.struct("at", "status")).alias("l")
+    return pulses.groupBy("type", "worker").agg(last).select("type", "worker", F.col("l.at").alias("at"), F.col("l.status").alias("status"))
+
+
+def write_results(df: DataFrame, folder: str) -> None:
+    """Result files as CSV with a header and as JSON lines."""
+    df.write.mode("overwrite").option("header", True).csv(f"{folder}/csv")
+    df.write.mode("overwrite").json(f"{folder}/json")
+
+
+def report_name(title: str, length: int = 40) -> str:
+    """A file name from a title."""
+    import re
+
+    return re.sub(r"[^\w\-]", "_", title)[:length] + ".md"
+
+
+def report(sections: dict[str, DataFrame], rows: int = 20) -> str:
+    """A Markdown report: a table of the first ``rows`` rows of each section."""
+    out = []
+    for title, df in sections.items():
+        cells = [["" if v is None else str(v) for v in r] for r in df.limit(rows).collect()]
+        out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(r) + " |" for r in cells), ""]
+    return "\n".join(out)
+
+
+def job_counters(jobs: DataFrame) -> DataFrame:
+    """Jobs by type and status."""
+    return jobs.groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sync_counters(rows: DataFrame, flag: str) -> DataFrame:
+    """How many rows are synchronised, pending and without the flag at all."""
+    f = F.col(flag)
+    return rows.agg(F.count_if(f).alias("ok"), F.count_if(~f).alias("pending"), F.count_if(f.isNull()).alias("missing"))
