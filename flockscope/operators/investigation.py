@@ -142,3 +142,20 @@ def suspicion(summary: DataFrame, media: DataFrame, campaigns: DataFrame) -> Dat
     mean = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(there), F.lit(1))
     one = F.least(F.lit(1.0), mean + F.when(F.coalesce("n_campaigns", F.lit(0)) > 0, 0.15).otherwise(0.0))
     return s.select("account_id", F.round(F.least(F.lit(1.0), one + F.when(F.coalesce("seen_count", F.lit(0)) > 1, 0.10).otherwise(0.0)), 2).alias("suspicion"))
+
+
+def thread_depths(comments: DataFrame, thread: str, comment: str, parent: str, most: int = 100) -> DataFrame:
+    """(thread, comment, depth): comments below those without a parent in their thread, level by level as deep as they go."""
+    from flockscope.sources.shared import settle
+
+    rows = comments.select(F.col(thread).alias("_t"), F.col(comment).alias("_c"), F.col(parent).alias("_p"))
+    ids = rows.select("_t", F.col("_c").alias("_p"))
+    level = settle(rows.join(ids, ["_t", "_p"], "left_anti").select("_t", "_c"))
+    found, depth = level.withColumn("depth", F.lit(0)), 0
+    while depth < most:
+        depth += 1
+        level = settle(rows.join(level.select("_t", F.col("_c").alias("_p")), ["_t", "_p"]).select("_t", "_c"))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+    return found.select(F.col("_t").alias(thread), F.col("_c").alias(comment), "depth")

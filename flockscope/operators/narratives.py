@@ -157,3 +157,66 @@ def narrative_labels(terms: DataFrame, first: int = 3) -> DataFrame:
     """(cluster, label) from keywords(cluster, term, place)."""
     top = terms.filter(F.col("place") <= first).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
     return top.select("cluster", F.concat(F.lit("Narratif #"), F.col("cluster").cast("string"), F.lit(" — "), F.array_join(F.transform("t", lambda x: x["term"]), ", ")).alias("label"))
+
+
+def match_labels(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(cluster, label, narrative_id): labels that there are already keep their narrative, others have none yet."""
+    return new.join(known.select("label", "narrative_id"), "label", "left").select("cluster", "label", "narrative_id")
+
+
+def centroid_vectors(vectors: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, centroid): a cluster's mean vector, as single precision."""
+    mean = vectors.select(F.col(cluster).alias("cluster"), F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    parts = mean.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("m"))
+    return parts.select("cluster", F.transform("m", lambda x: x["mean"].cast("float")).alias("centroid"))
+
+
+def hashed_embedding(text, dim: int = 384):
+    """array<float>: the signed counts of a text's words by hash, of length 1; zeros for texts of under three characters."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    cell = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")
+    sign = lambda w: F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0)
+    pairs = F.transform(words, lambda w: F.struct(cell(w).alias("c"), sign(w).alias("s")))
+    zero = F.array_repeat(F.lit(0.0), dim)
+    # words one by one, each changing one cell
+    total = F.aggregate(pairs, zero, lambda acc, p: F.concat(F.slice(acc, F.lit(1), p["c"]), F.array(F.get(acc, p["c"]) + p["s"]), F.slice(acc, p["c"] + 2, F.lit(dim))))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
+    long = F.length(F.trim(F.coalesce(text, F.lit("")))) >= 3
+    return F.transform(F.when(long, total).otherwise(zero), lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+
+def reduced(vectors: DataFrame, dim: int = 50, least: int = 20) -> DataFrame:
+    """vectors(id, v) by their ``dim`` principal components (two fewer than there are vectors at most); as they are if fewer than ``least``."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    n = vectors.count()
+    if n < least:
+        return vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+    dense = vectors.select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f"))
+    size = len(vectors.first()["v"])
+    model = PCA(k=max(1, min(dim, n - 2, size)), inputCol="f", outputCol="o").fit(dense)
+    return model.transform(dense).select("id", vector_to_array("o").alias("v"))
+
+
+def near_hashes(rows: DataFrame, distance: int, bits: int = 64) -> DataFrame:
+    """Pairs (a, b, apart), a < b, of rows(id, h) whose perceptual hashes differ in at most ``distance`` bits.
+
+    Hashes are cut into one band more than bits may differ, so that a pair shares a band;
+    equal hashes are collapsed to their least id first, which stands for all of them."""
+    one = rows.filter("h is not null").groupBy("h").agg(F.min("id").alias("id"))
+    bands = distance + 1
+    width = -(-bits // bands)
+    mask = (1 << width) - 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.call_function("shiftrightunsigned", F.col("h"), i * width).bitwiseAND(F.lit(mask)).alias("part")))
+    banded = one.select("id", "h", F.inline(cut))
+    x, y = banded.alias("x"), banded.alias("y")
+    pairs = x.join(y, ["band", "part"]).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))).cast("long").alias("apart"))
+    return pairs.filter(F.col("apart") <= distance).distinct()
+
+
+def topics(rows: DataFrame, terms: DataFrame, cluster: str, k: int = 3) -> DataFrame:
+    """Rows with the first ``k`` keywords of their cluster as ``topics``; none for those without a cluster."""
+    top = terms.filter(F.col("place") <= k).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    top = top.select(F.col("cluster").alias(cluster), F.transform("t", lambda x: x["term"]).alias("topics"))
+    return rows.join(top, cluster, "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))

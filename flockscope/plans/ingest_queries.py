@@ -16,11 +16,11 @@ def path_source_context(spark, d):
     return T.load(spark, d, "pages").select("page_id", part(3).alias("project"), F.regexp_replace(part(4), "^converted_", "").alias("scan"), S.truthy(part(5)).alias("user_name"))
 
 
-@query("""SELECT 'new' AS change, o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_orderkey)
-UNION ALL SELECT 'gone', c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey = c_custkey)""")
+@query("""SELECT 'new' AS change, o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id * 2 = o_orderkey)
+UNION ALL SELECT 'gone', event_id * 2 FROM events WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = event_id * 2)""")
 def incremental_cursor_antijoin(spark, d):
-    listing = T.load(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"))
-    cursor = T.load(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    listing = T.load(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    cursor = T.load(spark, d, "events").select((F.col("event_id") * 2).alias("id"))
     return store.cursor_changes(listing, cursor, ["id"])
 
 

@@ -31,3 +31,26 @@ def stream_dedup(spark, d):
 def stream_burst_tumbling(spark, d):
     out = P.tumbling_counts(spark, _events(spark, d), "at", ["event_type"], "1 day", "2 days")
     return out.select(F.to_date("start").alias("day"), "event_type", "n")
+
+
+@query("SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS s FROM events) GROUP BY 1, 2 HAVING count(*) >= 20")
+def stream_burst_sliding(spark, d):
+    out = P.sliding_counts(spark, _events(spark, d), "at", ["event_type"], "24 hours", "1 hour", 20, "2 days")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g")
+def stream_sessions(spark, d):
+    out = P.finished_sessions(spark, _events(spark, d), "at", ["user_id"], "2 hours", "2 days")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
+def stream_after_backfill(spark, d):
+    """Half of the events as history, all of them streamed after it: each is there once."""
+    folder = P.work_folder(spark)
+    shape = lambda s: s.filter("event_type <> 'error'").select("event_id", "event_type")
+    from flockscope.tables import load
+
+    P.backfill_then_stream(load(spark, d, "events").filter("event_type in ('view', 'click')"), _events(spark, d), shape, f"{folder}/out", f"{folder}/checkpoint", ["event_id"])
+    return spark.read.parquet(f"{folder}/out/history").unionByName(spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out/stream"))

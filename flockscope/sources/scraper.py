@@ -32,14 +32,17 @@ POST = _struct(
     influence_score=T.DoubleType(), is_bot_suspected=T.BooleanType(), _corrupt_record=_S)
 
 # File extensions by kind of media.
-VIDEO = ("mp4", "mov", "avi", "mkv", "webm", "m4v", "flv", "wmv")
-AUDIO = ("mp3", "wav", "ogg", "m4a")
+IMAGE = ("jpg", "jpeg", "png", "webp", "bmp", "tiff", "tif")
+VIDEO = ("mp4", "mov", "avi", "mkv", "webm", "flv")
+AUDIO = ("mp3", "m4a", "ogg", "wav", "aac")
+GIF = ("gif",)
+EXTENSIONS = IMAGE + VIDEO + AUDIO + GIF
 
 
 def read_posts(spark: SparkSession, root: str, pattern: str = "converted_*.json") -> DataFrame:
     """All exports under ``root``, objects and arrays alike, with their path; what cannot be parsed is in _corrupt_record."""
     reader = spark.read.schema(POST).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    return reader.json(root).withColumn("path", F.col("_metadata.file_path"))
+    return reader.json(root).withColumn("path", F.col("_metadata.file_path")).filter(~F.col("path").endswith("Zone.Identifier"))
 
 
 def stream_posts(spark: SparkSession, root: str, pattern: str = "*.json", archive: str | None = None) -> DataFrame:
@@ -97,11 +100,17 @@ def comments(posts: DataFrame) -> DataFrame:
                     F.coalesce("c.likes", F.lit(0)).alias("likes"), S.truthy(F.col("c.reply_to_id")).alias("parent_id"), F.when(S.truthy(F.col("c.reply_to_id")).isNotNull(), 1).otherwise(0).alias("depth"))
 
 
+def media_kind(extension: Column) -> Column:
+    """video, audio, gif or, for all others, image."""
+    ext = F.lower(F.regexp_replace(extension, r"^\.", ""))
+    return F.when(ext.isin(*VIDEO), "video").when(ext.isin(*AUDIO), "audio").when(ext.isin(*GIF), "gif").otherwise("image")
+
+
 def media_files(spark: SparkSession, root: str, posts: DataFrame) -> DataFrame:
     """posts(platform_id, path) with the files beside them: their paths, sizes and kinds."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    kind = F.when(ext.isin(*VIDEO), "video").when(ext.isin(*AUDIO), "audio").otherwise("image")
-    files = listing.filter(ext != "json").select(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "").alias("_stem"), F.col("path").alias("url_local"), "length", kind.alias("type"))
+    kind = media_kind(ext)
+    files = listing.filter(ext.isin(*EXTENSIONS)).select(F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "").alias("_stem"), F.col("path").alias("url_local"), "length", kind.alias("type"))
     stem = F.regexp_replace(raw_stem(F.col("path")), r"^file:/+", "file:/")
     return posts.select("platform_id", stem.alias("_key")).join(files.withColumn("_stem", F.regexp_replace("_stem", r"^file:/+", "file:/")), F.col("_key") == F.col("_stem")).drop("_key", "_stem")

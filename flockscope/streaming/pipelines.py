@@ -23,7 +23,10 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder below the one executors share, or a temporary one where none is set."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="flockscope-stream-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="flockscope-stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -66,6 +69,86 @@ def sessions(stream: DataFrame, time: str, by: list[str], gap: str, late: str) -
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def sliding_counts(spark: SparkSession, stream: DataFrame, time: str, by: list[str], width: str, slide: str, least: int, late: str) -> DataFrame:
+    """Windows of ``width``, one every ``slide``, with ``least`` rows of a key or more, after the whole stream."""
+    folder = work_folder(spark)
+    counts = stream.withWatermark(time, late).groupBy(F.window(time, width, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("w.start").alias("start"), *by, "n").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/b{number}")
+
+    run_available(counts, f"{folder}/out", f"{folder}/checkpoint", "update", put)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    return rows.groupBy("start", *by).agg(F.max(F.struct("batch", "n")).alias("l")).select("start", *by, F.col("l.n").alias("n")).filter(F.col("n") >= least)
+
+
+def finished_sessions(spark: SparkSession, stream: DataFrame, time: str, by: list[str], gap: str, late: str) -> DataFrame:
+    """(start, end, key, n) of all sessions of a stream that is read to its end; open ones count as they stand."""
+    folder = work_folder(spark)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/b{number}")
+
+    run_available(sessions(stream, time, by, gap, late), f"{folder}/out", f"{folder}/checkpoint", "complete", put)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    last = rows.agg(F.max("batch").alias("b"))  # each batch holds all sessions, the last one as they ended
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("b")).select("start", "end", *by, "n")
+
+
+def backfill_then_stream(history: DataFrame, stream: DataFrame, shape: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: list[str]) -> None:
+    """History first, as a batch, then what streams in, through the same ``shape``; rows whose key the history holds are not written again."""
+    spark = history.sparkSession
+    shape(history).write.mode("overwrite").parquet(f"{out}/history")
+    done = spark.read.parquet(f"{out}/history").select(*key)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.join(done, key, "left_anti").write.mode("overwrite").parquet(f"{out}/stream/b{number}")
+
+    run_available(shape(stream), f"{out}/stream", checkpoint, "append", put)
+
+
+def poll(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 120) -> StreamingQuery:
+    """A query that looks for new files every ``seconds`` seconds."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(each).start()
+
+
+def with_retries(run: Callable[[], None], attempts: int = 10, delay: float = 5.0, wait: Callable[[float], None] | None = None) -> int:
+    """Run again after a failure, ``attempts`` times in all, ``delay`` seconds apart; a stream goes on from its checkpoint. The attempts it took."""
+    import time
+
+    for attempt in range(1, attempts + 1):
+        try:
+            run()
+            return attempt
+        except Exception:
+            if attempt == attempts:
+                raise
+            (wait or time.sleep)(delay)
+    return attempts
+
+
+def idle_listener(trigger: IdleTrigger):
+    """A query listener that tells the trigger of each batch and of every look that found nothing."""
+    import time
+
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            trigger.progress(event.progress.numInputRows, time.time())
+
+        def onQueryIdle(self, event) -> None:
+            trigger.progress(0, time.time())
+
+        def onQueryTerminated(self, event) -> None:
+            pass
+
+    return Listener()
+
+
 class IdleTrigger:
     """Calls ``job`` once when a stream has had nothing for ``seconds``, and again only after new rows.
 
@@ -76,7 +159,7 @@ class IdleTrigger:
         import threading
 
         self.job, self.seconds, self.last, self.armed = job, seconds, None, False
-        self.lock, self.queued = threading.Lock(), False
+        self.lock, self.running, self.queued = threading.Lock(), False, False
 
     def progress(self, rows: int, now: float) -> bool:
         """Tell it of a batch; whether the job was run."""
@@ -89,14 +172,21 @@ class IdleTrigger:
         return self.run()
 
     def run(self) -> bool:
-        if not self.lock.acquire(blocking=False):
-            self.queued = True
-            return False
+        # whether a job runs and whether another is due change together, under one lock
+        with self.lock:
+            if self.running:
+                self.queued = True
+                return False
+            self.running = True
         try:
-            self.job()
-            while self.queued:
-                self.queued = False
+            while True:
                 self.job()
-        finally:
-            self.lock.release()
-        return True
+                with self.lock:
+                    if not self.queued:
+                        self.running = False
+                        return True
+                    self.queued = False
+        except BaseException:
+            with self.lock:
+                self.running = self.queued = False
+            raise
