@@ -130,6 +130,7 @@ def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least
     posted = leaves.dropDuplicates(["key"]).select("key", F.inline("leaves"))
     shared = (posted.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), (F.min("lo") == F.max("hi")).alias("alone"), F.max("need").alias("need"))
               .filter(F.col("docs") >= F.col("need")).select("leaf", "alone"))
+    shared = common.materialize(shared, "line-shared")  # a plain side, as below
     hot = posted.select("key", "leaf").join(shared, "leaf").groupBy("key").agg(F.collect_list(F.struct("leaf", "alone")).alias("hot"))
     lines = (head.join(hot, "key").dropDuplicates(["key"]).select("doc_id", "key", "text", "hot")
              .mapInArrow(_hot_lines(least_tokens, depth), "doc_id long, key long, leaf long, line long, places array<int>, fields array<long>, again array<struct<at: int, field: long, times: long>>"))
