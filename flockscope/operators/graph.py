@@ -16,11 +16,24 @@ from pyspark.sql import functions as F
 from flockscope.sources.shared import settle
 
 
+def pairs_within(rows: DataFrame, group: str, member: str, block: int = 1024) -> DataFrame:
+    """(a, b, group), a < b: all pairs of distinct members of a group.
+
+    A group of more than ``block`` members is cut into blocks by hash, and each pair of blocks
+    is a key of its own, so that a very common post or tag is spread over many tasks."""
+    e = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).filter("g is not null and m is not null").distinct()
+    sizes = e.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    e = e.join(sizes, "g").withColumn("k", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    left = e.select("g", F.col("m").alias("a"), F.col("k").alias("x"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("y"))
+    right = e.select("g", F.col("m").alias("b"), F.col("k").alias("y"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("x"))
+    met = left.join(right, ["g", "x", "y"]).filter("x < y or a < b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("g").alias(group))
+
+
 def projection(edges: DataFrame) -> DataFrame:
     """Pairs of accounts, smaller id first, by the number of posts they both touch: edges(account_id, post_id)."""
-    e = edges.select("account_id", "post_id").distinct()
-    pairs = e.alias("x").join(e.alias("y"), "post_id").filter("x.account_id < y.account_id")
-    return pairs.groupBy(F.col("x.account_id").alias("src"), F.col("y.account_id").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+    pairs = pairs_within(edges, "post_id", "account_id")
+    return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -134,25 +147,65 @@ def _louvain(pairs: dict[int, dict[int, float]], total: float) -> dict[int, int]
         graph, member = merged, joined
 
 
-def louvain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, community): each connected component is clustered on its own, with the whole graph's
-    weight, for communities never cross components.  A component is one task."""
+def louvain(nodes: DataFrame, edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(id, community), named by its least id: communities never cross components, so each component is clustered on its
+    own, with the whole graph's weight.  One of up to ``most`` edges is one task; larger ones are moved round by round, as joins."""
     comp = settle(connected_components(nodes, edges))
-    total = float(edges.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) * 2
-    inside = edges.join(comp, F.col("src") == F.col("id")).select("component", "src", "dst", F.col("weight").cast("double").alias("weight"))
+    total = max(float(edges.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) * 2, 1e-12)
+    inside = settle(edges.join(comp, F.col("src") == F.col("id")).select("component", "src", "dst", F.col("weight").cast("double").alias("weight")))
+    sizes = settle(inside.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    large = sizes.filter(F.col("n") > most).select("component")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs: dict[int, dict[int, float]] = {}
         for a, b, w in zip(pdf.src, pdf.dst, pdf.weight, strict=True):
             pairs.setdefault(a, {})[b] = pairs.get(a, {}).get(b, 0.0) + w
             pairs.setdefault(b, {})[a] = pairs.get(b, {}).get(a, 0.0) + w
-        got = _louvain(pairs, max(total, 1e-12))
+        got = _louvain(pairs, total)
         return pd.DataFrame({"id": list(got), "community": list(got.values())})
 
-    found = inside.groupBy("component").applyInPandas(cluster, "id long, community long")
+    found = inside.join(large, "component", "left_anti").groupBy("component").applyInPandas(cluster, "id long, community long")
+    if not large.isEmpty():
+        found = found.unionByName(louvain_by_joins(inside.join(large, "component", "left_semi").select("src", "dst", "weight"), total))
     return nodes.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
 
 
+def louvain_by_joins(edges: DataFrame, total: float, rounds: int = 16, levels: int = 8) -> DataFrame:
+    """(id, community) of a graph of any size: in each round every second node, by a hash that changes with the round, moves to the neighbouring
+    community that gains most modularity; when few move, communities become nodes, until nothing moves any more."""
+    links = settle(undirected(edges.select("src", "dst", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    member = None
+    for _ in range(levels):
+        degree = settle(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree")))
+        n = degree.count()
+        own = settle(degree.select("id", F.col("id").alias("community")))
+        changed = False
+        for turn in range(rounds):
+            weight = own.join(degree, "id").groupBy("community").agg(F.sum("degree").alias("held"))
+            to = (links.filter("src <> dst").join(own.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst")
+                  .groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w")))
+            stay = own.select("id", F.col("community").alias("c"), F.lit(0.0).alias("w"))
+            seen = to.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(degree, "id").join(own, "id").join(weight.withColumnRenamed("community", "c"), "c")
+            held = F.col("held") - F.when(F.col("c") == F.col("community"), F.col("degree")).otherwise(0.0)
+            gain = F.col("w") - F.col("degree") * held / total
+            best = seen.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (F.col("c") == F.col("community")).alias("same"), (-F.col("c")).alias("c"))).alias("b"), F.first("community").alias("community"))
+            moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+            nxt = settle(best.select("id", F.when(moves, -F.col("b.c")).otherwise(F.col("community")).alias("community"), (moves & (-F.col("b.c") != F.col("community"))).alias("moved")))
+            moved = nxt.filter("moved").count()
+            own = nxt.select("id", "community")
+            changed = changed or moved > 0
+            if moved * 1000 <= n and turn % 2:
+                break
+        label = own if member is None else member.join(own.withColumnRenamed("id", "_c").withColumnRenamed("community", "_to"), F.col("community") == F.col("_c")).select("id", F.col("_to").alias("community"))
+        member = settle(label)
+        if not changed:
+            break
+        a, b = own.select(F.col("id").alias("src"), F.col("community").alias("s")), own.select(F.col("id").alias("dst"), F.col("community").alias("t"))
+        links = settle(links.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("t").alias("dst")).agg(F.sum("weight").alias("weight")))
+    least = member.groupBy("community").agg(F.min("id").alias("least"))
+    return member.join(least, "community").select("id", F.col("least").alias("community"))
+
+
 def modularity(edges: DataFrame, communities: DataFrame) -> float:
     """Share of weight inside communities above what degrees alone would give."""
     a = communities.select(F.col("id").alias("src"), F.col("community").alias("ca"))
@@ -164,16 +217,52 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return inner / m - square / (4.0 * m * m)
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = 5_000_000) -> DataFrame:
+def betweenness_by_joins(nodes: DataFrame, edges: DataFrame, batch: int = 64, hops: int = 10_000) -> DataFrame:
+    """(id, score) for graphs of any size: Brandes' accumulation level by level, as joins, about ``batch`` sources at a time.
+
+    Sources are taken in rounds by hash; what a round holds is its sources times the nodes they reach."""
+    both = settle(undirected(edges.select("src", "dst")).filter("src <> dst").distinct())
+    sources = both.select(F.col("src").alias("s")).distinct()
+    turns = max(1, -(-sources.count() // batch))
+    scores = []
+    for turn in range(turns):
+        level = settle(sources.filter(F.pmod(F.xxhash64("s"), F.lit(turns)) == turn).select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))
+        seen = None
+        done = []
+        for _ in range(hops):
+            done.append(level)
+            seen = level.select("s", "v") if seen is None else settle(seen.unionByName(level.select("s", "v")))
+            step = level.join(both, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+            level = settle(step.join(seen, ["s", "v"], "left_anti"))
+            if level.isEmpty():
+                break
+        gain = None
+        for depth in range(len(done) - 1, 0, -1):
+            here = done[depth].withColumn("gain", F.lit(0.0)) if gain is None else done[depth].join(gain, ["s", "v"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+            here = settle(here)
+            scores.append(here.groupBy(F.col("v").alias("id")).agg((F.sum("gain") / 2).alias("score")))
+            back = here.select("s", F.col("v").alias("dst"), ((1 + F.col("gain")) / F.col("paths")).alias("each")).join(both, "dst")
+            up = done[depth - 1].join(back.select("s", F.col("src").alias("v"), "each"), ["s", "v"])
+            gain = settle(up.groupBy("s", "v").agg((F.max("paths") * F.sum("each")).alias("gain")))
+    out = nodes.select("id")
+    if not scores:
+        return out.withColumn("score", F.lit(0.0))
+    total = scores[0]
+    for x in scores[1:]:
+        total = total.unionByName(x)
+    return out.join(total.groupBy("id").agg(F.sum("score").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = 1_000_000) -> DataFrame:
     """(id, score): shortest paths of others that pass a node, by Brandes' accumulation from every source.
 
-    Sources are spread over tasks; the adjacency is sent to all, so graphs of more than
-    ``max_edges`` edges are refused.
+    Sources are spread over tasks; the adjacency of graphs of up to ``max_edges`` edges is sent to all, larger graphs are
+    worked on as joins.
     """
     spark = nodes.sparkSession
     both = undirected(edges.select("src", "dst")).distinct()
     if both.count() > 2 * max_edges:
-        raise ValueError(f"betweenness takes at most {max_edges} edges")
+        return betweenness_by_joins(nodes, edges)
     table = both.toPandas()
     adjacency: dict[int, list[int]] = {n: g.tolist() for n, g in table.groupby("src")["dst"]}
     held = spark.sparkContext.broadcast(adjacency)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flockscope.operators.graph import pairs_within
+
 
 def is_synthetic() -> Column:
     return F.col("prediction") == "synthetic"
@@ -85,9 +87,8 @@ def silence_gaps(posts: DataFrame, days: int = 14, k: int | None = None) -> Data
 
 def shared_tags(tags: DataFrame, least: int = 2) -> DataFrame:
     """Pairs of accounts, smaller id first, that use ``least`` or more tags both."""
-    t = tags.select("account_id", "tag").distinct()
-    pairs = t.alias("x").join(t.alias("y"), "tag").filter("x.account_id < y.account_id")
-    return pairs.groupBy(F.col("x.account_id").alias("account_a"), F.col("y.account_id").alias("account_b")).agg(F.count(F.lit(1)).alias("shared_tags")).filter(F.col("shared_tags") >= least)
+    pairs = pairs_within(tags, "tag", "account_id")
+    return pairs.groupBy(F.col("a").alias("account_a"), F.col("b").alias("account_b")).agg(F.count(F.lit(1)).alias("shared_tags")).filter(F.col("shared_tags") >= least)
 
 
 def duplicate_edges(posts: DataFrame) -> DataFrame:
@@ -104,9 +105,8 @@ def copy_pairs(edges: DataFrame) -> DataFrame:
 
 def cross_campaign(posts: DataFrame) -> DataFrame:
     """Pairs of campaigns by the accounts that post in both."""
-    m = posts.select("campaign_id", "account_id").distinct()
-    pairs = m.alias("x").join(m.alias("y"), "account_id").filter("x.campaign_id < y.campaign_id")
-    return pairs.groupBy(F.col("x.campaign_id").alias("campaign_a"), F.col("y.campaign_id").alias("campaign_b")).agg(F.count(F.lit(1)).alias("accounts"))
+    pairs = pairs_within(posts, "account_id", "campaign_id")
+    return pairs.groupBy(F.col("a").alias("campaign_a"), F.col("b").alias("campaign_b")).agg(F.count(F.lit(1)).alias("accounts"))
 
 
 def same_day_pairs(posts: DataFrame) -> DataFrame:

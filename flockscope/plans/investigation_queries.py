@@ -9,6 +9,7 @@ from flockscope import tables as T
 from flockscope.operators import investigation as V
 from flockscope.operators.explore import facets, page, shares, status_counts
 from flockscope.operators import signals as G
+from flockscope.operators.narratives import top_places
 from flockscope.plans.catalog import query
 
 _SUMMARY = "SELECT account_id, count(*) AS posts, round(avg(final_score), 6) AS avg_score, count(*) FILTER (prediction = 'synthetic') AS synthetic, count(*) FILTER (prediction = 'suspicious') AS suspicious, round(count(*) FILTER (prediction = 'synthetic')::DOUBLE / count(*), 6) AS synthetic_ratio FROM posts GROUP BY 1"
@@ -53,8 +54,8 @@ def accounts_by_narrative(spark, d):
 
 @query("""SELECT campaign_id, account_id, username FROM (SELECT campaign_id, unnest(list_sort(list(DISTINCT account_id))[1:20]) AS account_id FROM posts GROUP BY 1) JOIN accounts USING (account_id)""")
 def campaign_members(spark, d):
-    ranked = T.plain_posts(spark, d).select("campaign_id", "account_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("campaign_id").orderBy("account_id")))
-    return ranked.filter("r <= 20").drop("r").join(T.accounts(spark, d).select("account_id", "username"), "account_id").select("campaign_id", "account_id", "username")
+    first = top_places(T.plain_posts(spark, d).select("campaign_id", "account_id").distinct(), "campaign_id", F.struct("account_id"), 20)
+    return first.select("campaign_id", "_v.account_id").join(T.accounts(spark, d).select("account_id", "username"), "account_id").select("campaign_id", "account_id", "username")
 
 
 @query("SELECT o.post_id, m.media_id FROM order_posts o JOIN (SELECT DISTINCT post_id, media_id FROM media_scores) m USING (post_id) WHERE prediction <> 'likely_real'")
