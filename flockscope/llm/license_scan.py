@@ -114,9 +114,9 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.auto = Automaton(sequences)
         self.least, self.cover, self.gap, self.n_base = least, cover, gap, len(base)
-        # base phrases that a state's runs end with: those of its own and of its shorter suffixes
+        # base phrases and whole templates that a state's runs end with: those of its own and of its shorter suffixes
         self.closes: list[list[tuple[int, int]]] = [[] for _ in self.auto.link]
-        for k in range(len(base)):
+        for k in range(len(sequences)):
             v = 0
             for t in sequences[k]:
                 v = self.auto.next[v][t]
@@ -147,16 +147,20 @@ class Scanner:
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         places: list[tuple[int, int]] = []
         runs: list[tuple[int, int, int]] = []  # start, end, state of matches that cannot be extended
+        whole: list[tuple[int, int, int]] = []  # start, end, template
         before = (-1, 0, 0)
         for i, v, n in self.stream(ids):
             for k, size in self.closes[v]:
-                if n >= size:
+                if n >= size and k < self.n_base:
                     places.append((i - size + 1, k))
+                elif n >= size:  # also where it is part of a longer run of another template
+                    whole.append((i - size + 1, i, k))
             if before[2] >= self.least and n <= before[2]:
                 runs.append((before[0] - before[2] + 1, before[0], before[1]))
             before = (i, v, n)
         shares, spans = self.chain(runs)
-        return places, shares, spans
+        shares |= {k: 1.0 for _, _, k in whole}
+        return places, shares, [*spans, *(x for x in whole if x not in set(spans))]
 
     def chain(self, runs: list[tuple[int, int, int]]) -> tuple[dict[int, float], list[tuple[int, int, int]]]:
         by_template: dict[int, list[tuple[int, int, int]]] = {}

@@ -374,6 +374,44 @@ def test_quality(spark, texts):
     assert quality_forest.judge(d.limit(0), labels).count() == 0
 
 
+def walk(tree, row, node=0, depth=0):
+    """A row's path through a tree, one split after another."""
+    feature, value, left, right, path = tree
+    if feature[node] < 0:
+        return depth, path[node]
+    return walk(tree, row, left[node] if row[feature[node]] <= value[node] else right[node], depth + 1)
+
+
+def test_isolation_paths():
+    """Scores are 2 to the minus mean path over the expected one; paths end at the limit or where rows are alone or alike."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((500, 3)), [[9, 9, 9]]])
+    forest = quality_forest.Forest(x, [0, 1, 2], 40, 64, 1)
+    score = forest.score(x)
+    for i in (0, 17, 300, 500):
+        steps = [walk(t, x[i]) for t in forest.trees]
+        assert all(p >= d for d, p in steps) and max(d for d, _ in steps) <= 6
+        assert score[i] == pytest.approx(2 ** (-np.mean([p for _, p in steps]) / quality_forest.Forest.expected(64)))
+    assert score.argmax() == 500
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_calibration_takes_the_best_threshold(seed):
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    bins = 40
+    rows = [(b, int(rng.integers(0, 60 if b < 25 else 2)), int(rng.integers(0, 6 if b < 25 else 12))) for b in range(5, 38)]
+    hist = pd.DataFrame([(b, g, g + bad) for b, g, bad in rows if g + bad], columns=["bin", "good", "n"])
+    got = quality_forest.calibrate(hist, bins, 0.02, 5.0, 0.8)
+    good, gains = hist.good.sum(), {2.0: 0.0}
+    for b in hist.bin:
+        above = hist[hist.bin >= b]
+        if above.good.sum() <= 0.02 * good:
+            gains[b / bins] = float((above.n - above.good).sum() - 5.0 * above.good.sum())
+    assert gains[got] == max(gains.values())
+
+
 # 7 packing
 
 def test_packing(spark, texts):
@@ -419,6 +457,27 @@ def test_licences(spark):
     assert license_scan.scan(docs_of(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_licence_places_against_a_plain_scan(seed):
+    """Every place of every base phrase, and the labels of templates that stand there whole, among near misses."""
+    rng = random.Random(seed)
+    scanner = license_scan.Scanner()
+    vocabulary = sorted({w for p, _ in license_scan.BASE for w in p.split()} | {"the", "under", "2", "x"})
+    for _ in range(200):
+        words_ = rng.choices(vocabulary, k=rng.randint(0, 60))
+        whole = rng.sample(license_scan.TEMPLATES, rng.randint(0, 2))
+        for _, template in whole:
+            at = rng.randint(0, len(words_))
+            words_[at:at] = ["stop", *template.split(), "stop"]
+        found = [w.encode() for w in words_]
+        places, shares, _ = scanner.scan(found)
+        want = sorted((i, label) for p, label in license_scan.BASE for i in range(len(words_)) if words_[i : i + len(p.split())] == p.split())
+        assert sorted((i, scanner.labels[k]) for i, k in places) == want
+        given = {scanner.labels[k] for k, share in shares.items() if share >= scanner.cover}
+        text = " ".join(words_)
+        assert {label for label, t in license_scan.TEMPLATES if f" {t} " in f" {text} "} <= given
+
+
 def test_suffix_automaton_matches():
     rng = random.Random(8)
     seqs = [[rng.randrange(4) for _ in range(30)] for _ in range(3)]
