@@ -30,12 +30,13 @@ def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; n_chars follows the text where a line went.
+    """Recurring lines go, and documents of which nothing but recurring lines was there; n_chars follows the text where a line went.
 
     Null texts stay null, empty ones empty; repeated rows count once and are treated alike; an empty table stays empty; other columns are left out."""
     out = line_dedup.dedup(docs.select(COLUMNS))
-    n_chars = F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
-    return out.withColumn("n_chars", n_chars).select(COLUMNS)
+    lost = F.col("_n_dropped") > 0
+    n_chars = F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars").cast("long"))
+    return out.withColumn("n_chars", n_chars).filter(~lost | F.col("text").rlike(common.WORD)).select(COLUMNS)
 
 
 def ngram_join_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
