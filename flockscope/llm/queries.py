@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality_forest, secret_scan, substring_dedup, toxicity
+from . import (embedding_dedup, html_extract, license_scan, line_dedup, mixing, ngram_join, packing, prefix_trie, quality_forest, secret_scan,
+               spelling, substring_dedup, toxicity)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_html_extract": html_extract.op13_html_extract,
 }
 
 ORACLE = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
 }

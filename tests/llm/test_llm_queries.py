@@ -18,7 +18,7 @@ def test_against_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, gone int, kept int, node int, times int, _key int, _row int, _n_dropped int, drop int"
