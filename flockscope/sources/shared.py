@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the session's ``spark.checkpoint.dir``; only a session that names none gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session that names none gets a folder of its own."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="flockscope-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="flockscope-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, with a plan that starts at its files.
+
+    The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
