@@ -220,7 +220,7 @@ def rebuilt(ranked: DataFrame, every: int = 5, most: int = 9) -> DataFrame:
 
 # the trie
 
-def trie(rows: DataFrame, shard_rows: int = 1024) -> DataFrame:
+def trie(rows: DataFrame, shard_rows: int = 256) -> DataFrame:
     """The nodes of the trie over ``rows`` as ``whole`` or ``rebuilt`` give them."""
     spot = F.col("pos") > 0
     rows = rows.select("conv_id", "pos", "total", "n_bytes", F.when(spot, F.xxhash64("l1", "l2", "pos")).otherwise(0).alias("q1"),
