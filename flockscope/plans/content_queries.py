@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flockscope import tables as T
 from flockscope.functions import scalars as S
-from flockscope.operators import graph, narratives, store
+from flockscope.operators import graph, hierarchy, narratives, neighbours, store
 from flockscope.operators import investigation as V
 from flockscope.plans.catalog import query
 from flockscope.sources import scraper
@@ -239,3 +239,21 @@ def account_flags(spark, d):
 def document_topics(spark, d):
     docs = T.load(spark, d, "documents")
     return narratives.topics(docs.select("doc_id", "lang"), narratives.keywords(docs, "lang", "text", "doc_id"), "lang")
+
+
+# neighbour graphs and clusters
+
+def _vectors(spark, d):
+    return T.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query()
+def neighbour_graph(spark, d):
+    """The fifteen nearest others of every vector by cosine; most of them right, so that there is no SQL."""
+    return neighbours.neighbour_graph(_vectors(spark, d))
+
+
+@query()
+def hierarchical_clusters(spark, d):
+    """Hierarchical density clusters of all vectors by full distances."""
+    return hierarchy.hierarchical_clusters(_vectors(spark, d))

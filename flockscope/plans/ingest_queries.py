@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flockscope import tables as T
 from flockscope.functions import scalars as S
 from flockscope.operators import store
 from flockscope.plans.catalog import query
+from flockscope.sources.keyed import KeyedTable
+from flockscope.sources.shared import shared_folder
 
 
 @query("""SELECT page_id, split_part(url, '/', 3) AS project, regexp_replace(split_part(url, '/', 4), '^converted_', '') AS scan, nullif(split_part(url, '/', 5), '') AS user_name FROM pages""")
@@ -73,6 +77,62 @@ def graph_edges_matched(spark, d):
     return store.matched_edges(edges, T.load(spark, d, "customer").select(F.col("c_custkey").alias("id")), T.load(spark, d, "part").select(F.col("p_partkey").alias("id")))
 
 
+def _table(spark, key, buckets=16):
+    return KeyedTable(spark, f"{shared_folder(spark)}/keyed/{uuid.uuid4().hex}", key, buckets)
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY 1, 2")
+def keyed_first_writes(spark, d):
+    """Events written twice into a table that keeps the first of each key."""
+    t = _table(spark, ["user_id", "event_type"])
+    rows = T.load(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("first_event"))
+    for _ in range(2):
+        t.insert_absent(rows, ["first_event"])
+    return t.read()
+
+
+@query("""SELECT coalesce(n.account_id, a.account_id) AS account_id, coalesce(a.platform, n.platform) AS platform, n.updated_at, a.username, a.followers
+FROM (SELECT account_id, arg_max(platform, (published_at, post_id)) AS platform, max(published_at) AS updated_at FROM posts GROUP BY 1) n FULL JOIN accounts a ON a.account_id = n.account_id""")
+def keyed_account_nodes(spark, d):
+    """Account nodes from posts, then from profiles, field by field; the second write again."""
+    t = _table(spark, ["account_id"])
+    t.upsert(T.plain_posts(spark, d).select("account_id", "platform", F.col("published_at").alias("updated_at"), "post_id"), ["updated_at", "post_id"])
+    profiles = T.accounts(spark, d).select("account_id", "platform", "username", "followers")
+    for _ in range(2):
+        t.upsert(profiles, [])
+    return t.read().select("account_id", "platform", "updated_at", "username", "followers")
+
+
+@query("""SELECT DISTINCT ON (src, dst) user_id AS src, event_id % 2000 AS dst, event_type AS kind FROM events JOIN customer ON c_custkey = user_id JOIN part ON p_partkey = event_id % 2000 ORDER BY src, dst, event_id DESC""".replace("(src, dst) user_id", "(user_id, event_id % 2000) user_id").replace("ORDER BY src, dst", "ORDER BY user_id, event_id % 2000"))
+def keyed_edges(spark, d):
+    """Edges with both ends there, their properties as last written."""
+    ends = lambda name, c: T.load(spark, d, name).select(F.col(c).alias("id"))
+    edges = T.load(spark, d, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 2000).alias("dst"), F.col("event_type").alias("kind"), "event_id")
+    both = edges.join(ends("customer", "c_custkey"), F.col("src") == F.col("id"), "left_semi").join(ends("part", "p_partkey"), F.col("dst") == F.col("id"), "left_semi")
+    t = _table(spark, ["src", "dst"])
+    t.upsert(both, ["event_id"])
+    return t.read().select("src", "dst", "kind")
+
+
+@query("SELECT l_partkey AS media_id, array_to_string(list_sort(list(DISTINCT l_orderkey::VARCHAR)), ',') AS posts, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS platforms, count(*) AS touched FROM lineitem GROUP BY 1")
+def keyed_media_reuse(spark, d):
+    """Posts and platforms of each medium, added return flag by return flag."""
+    use = T.load(spark, d, "lineitem").select(F.col("l_partkey").alias("media_id"), F.col("l_orderkey").cast("string").alias("posts"), F.col("l_returnflag").alias("platforms"))
+    t = _table(spark, ["media_id"])
+    for flag in ("A", "N", "R"):
+        t.accumulate(use.filter(F.col("platforms") == flag), ["posts", "platforms"], "touched")
+    return t.read().select("media_id", F.array_join("posts", ",").alias("posts"), F.array_join("platforms", ",").alias("platforms"), "touched")
+
+
+@query("SELECT post_id, prediction FROM order_posts WHERE prediction <> 'synthetic'")
+def keyed_purge(spark, d):
+    t = _table(spark, ["post_id"])
+    t.insert_absent(T.order_posts(spark, d).select("post_id", "prediction"), [])
+    t.delete(F.col("prediction") == "synthetic")
+    t.vacuum(1)
+    return t.read()
+
+
 @query("""SELECT 'posts' AS collection, count(*) AS total, count(*) FILTER (prediction = 'synthetic') AS to_purge, count(*) FILTER (prediction <> 'likely_real') AS to_reset FROM posts
 UNION ALL SELECT 'order_posts', count(*), count(*) FILTER (prediction = 'synthetic'), count(*) FILTER (prediction <> 'likely_real') FROM order_posts""")
 def purge_preview_counts(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flockscope.plans.catalog import query
 from flockscope.streaming import pipelines as P
+from flockscope.streaming import state
 
 
 def _events(spark, d):
@@ -54,3 +55,42 @@ def stream_after_backfill(spark, d):
 
     P.backfill_then_stream(load(spark, d, "events").filter("event_type in ('view', 'click')"), _events(spark, d), shape, f"{folder}/out", f"{folder}/checkpoint", ["event_id"])
     return spark.read.parquet(f"{folder}/out/history").unionByName(spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out/stream"))
+
+
+_JOBS = """, e AS (SELECT user_id || '-' || kk % 8 AS job_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'claim' END AS kind,
+    epoch_us(ts) AS tick, 'w' || event_id % 2 AS worker, event_id % 3 > 0 AS retry, row_number() OVER (PARTITION BY user_id || '-' || kk % 8 ORDER BY ts, event_id) AS rn FROM raw_posts),
+all_states AS (WITH RECURSIVE s AS (SELECT DISTINCT job_id, 0::BIGINT AS rn, NULL::VARCHAR AS status, 0 AS attempts, NULL::VARCHAR AS worker, NULL::VARCHAR AS error, 0::BIGINT AS until FROM e
+  UNION ALL SELECT job_id, rn, CASE WHEN made THEN 'pending' WHEN claimed THEN 'processing' WHEN done THEN 'done' WHEN failed THEN CASE WHEN retry AND attempts < 3 THEN 'retrying' ELSE 'error' END ELSE status END,
+    attempts + claimed::INT, CASE WHEN claimed THEN who WHEN done OR failed THEN NULL ELSE worker END, CASE WHEN failed THEN 'failed' ELSE error END, CASE WHEN claimed THEN tick + 345600000000 ELSE until END
+  FROM (SELECT *, kind = 'created' AND status IS NULL AS made, kind = 'claim' AND status IN ('pending', 'retrying') IS TRUE AND attempts < 3 AS claimed,
+      (kind = 'complete' AND status = 'processing' AND who = worker) IS TRUE AS done, (kind = 'fail' AND status = 'processing' AND who = worker) IS TRUE AS failed
+    FROM (SELECT s.job_id, e.rn, kind, tick, e.worker AS who, retry, s.attempts, until, CASE WHEN late THEN CASE WHEN s.attempts < 3 THEN 'retrying' ELSE 'error' END ELSE status END AS status,
+        CASE WHEN late THEN NULL ELSE s.worker END AS worker, CASE WHEN late THEN 'lease expired' ELSE error END AS error
+      FROM (SELECT *, rn + 1 AS nxt FROM s) s JOIN e ON e.job_id = s.job_id AND e.rn = nxt, LATERAL (SELECT (status = 'processing' AND e.tick > until) IS TRUE AS late))))
+  SELECT * FROM s),
+l AS (SELECT job_id, last(status ORDER BY rn) AS status, last(attempts ORDER BY rn) AS attempts, last(worker ORDER BY rn) AS worker, last(error ORDER BY rn) AS error, last(until ORDER BY rn) AS until FROM all_states GROUP BY 1),
+m AS (SELECT max(tick) // 1000 - 60000 AS mark FROM e)
+SELECT job_id, CASE WHEN out THEN CASE WHEN attempts < 3 THEN 'retrying' ELSE 'error' END ELSE status END AS status, attempts, CASE WHEN NOT out THEN worker END AS worker,
+  CASE WHEN out THEN 'lease expired' ELSE error END AS error FROM (SELECT *, status = 'processing' AND until // 1000 + 1 <= mark AS out FROM l, m) WHERE status IS NOT NULL"""
+
+
+@query(_JOBS)
+def stream_job_queue(spark, d):
+    """Events as what happens to jobs, with leases of four days."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("claim")
+    jobs = _events(spark, d).select(F.concat_ws("-", "user_id", k % 8).alias("job_id"), kind.alias("kind"), F.col("at").alias("ts"), F.col("event_id").alias("seq"),
+                                    F.concat(F.lit("w"), (F.col("event_id") % 2).cast("string")).alias("worker"), (F.col("event_id") % 3 > 0).alias("retry"))
+    return state.last_states(spark, state.job_states(jobs, "4 days"), "job_id")
+
+
+@query("""SELECT id, duplicate_of, round(score, 6) AS score FROM (SELECT a.id, b.id AS duplicate_of, round(list_cosine_similarity(a.v, b.v), 9) AS score,
+    row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) AS p
+  FROM e a JOIN e b ON a.label = b.label AND b.rn BETWEEN a.rn - 40 AND a.rn - 1) WHERE p = 1 AND score >= 0.3::DOUBLE""".replace("SELECT id,", ", e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE embedding IS NOT NULL) SELECT id,", 1))
+def stream_recent_duplicates(spark, d):
+    """Vectors in the order of their ids, each against the forty before it with its label."""
+    from flockscope.tables import load
+
+    stream = spark.readStream.schema(load(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    rows = stream.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("at"), "label")
+    return state.found_duplicates(spark, state.recent_duplicates(rows, "label", 0.3, 40)).withColumn("score", F.round("score", 6))
