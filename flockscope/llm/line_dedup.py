@@ -143,6 +143,7 @@ def recurring(docs: DataFrame, min_docs: int, depth: int, constant: float, least
     less = lines.select("leaf", F.inline("again")).select("leaf", "at", "field", (-F.col("times")).alias("docs"))
     fixed = (fields.select("leaf", "at", "field", "docs").unionByName(less).groupBy("leaf", "at", "field").agg(F.sum("docs").alias("n"))
              .filter(F.col("n") >= min(recurs, min_docs)))
+    fixed = common.materialize(fixed, "line-fixed")  # a field that most lines of a leaf share is then a key that Spark can split
     place = F.struct("at", "field")
     tokens = F.col("tokens")
     templates = (fields.join(fixed, ["leaf", "at", "field"]).groupBy("leaf", "line")
