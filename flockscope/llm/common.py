@@ -83,15 +83,13 @@ def prefix_sum(df: DataFrame, group: list[str], order: list[Column], value: Colu
     """Adds ``out``: the sum of ``value`` over the rows before each row of its group.
 
     ``spread`` is a number in [0, 1) that rises with ``order``.  Rows are ranked in
-    ``buckets`` slices of it, and only one row per slice and group meets the others of
-    its group, so a group that holds most rows is still spread over many tasks.
+    ``buckets`` slices of it, and only one row for 1024 slices and a group meets the others
+    of its group, so a group that holds most rows is still spread over many tasks.
     ``df`` should be cheap to read twice.
     """
     sliced = df.withColumn("_slice", F.floor(spread * F.lit(buckets)).cast("int"))
-    sums = sliced.groupBy(*group, "_slice").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_slice").alias("_at"),
-                         F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    starts = offsets(sliced.groupBy(*group, "_slice").agg(F.sum(value).alias("_sum")), group, "_slice", "_sum", "_start")
+    starts = starts.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_slice").alias("_at"), "_start")
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = sliced.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     same = F.col("_slice") == F.col("_at")
@@ -102,6 +100,23 @@ def prefix_sum(df: DataFrame, group: list[str], order: list[Column], value: Colu
             .drop("_slice", "_at", "_start", *[f"_{g}" for g in group]))
 
 
+def offsets(sums: DataFrame, group: list[str], at: str, value: str, out: str, width: int = 1024) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the same group with a smaller ``at`` (whole numbers, once each).
+
+    ``width`` neighbouring rows are summed first, so that a window meets a ``width``-th of a group's rows."""
+    part = sums.withColumn("_part", F.floor(F.col(at) / width))
+    whole = part.groupBy(*group, "_part").agg(F.sum(value).alias("_whole"))
+    before = Window.partitionBy(*[f"_g_{g}" for g in group]).orderBy("_upto").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_upto"), "_whole")
+    whole = whole.withColumn("_ahead", F.coalesce(F.sum("_whole").over(before), F.lit(0))).drop("_whole")
+    inside = Window.partitionBy(*group, "_part").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    same = F.col("_part") == F.col("_upto")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return part.join(whole, same).select(*sums.columns, (F.col(out) + F.col("_ahead")).alias(out))
+
+
 def unit(key: Column) -> Column:
     """A 64-bit hash as a number in [0, 1) that rises with the hash's low 31 bits."""
     return key.bitwiseAND(F.lit(0x7FFFFFFF)) / F.lit(float(1 << 31))

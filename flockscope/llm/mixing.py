@@ -82,8 +82,7 @@ def schedule(spark, sources: DataFrame, n_slots: int) -> DataFrame:
     placed = (slots.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell")
               .filter("lo <= point and point < hi").select("slot", F.col("rank"), F.floor(F.col("slot") / CHUNK).alias("chunk")))
     per_chunk = placed.groupBy("rank", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_chunk.select("rank", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = common.offsets(per_chunk, ["rank"], "chunk", "n", "start").select("rank", "chunk", "start")
     within = Window.partitionBy("rank", "chunk").orderBy("slot")
     return (placed.withColumn("within", F.row_number().over(within) - 1).join(starts, ["rank", "chunk"])
             .select("slot", "rank", (F.col("start") + F.col("within")).alias("turn")))
