@@ -182,29 +182,6 @@ def ai_score(results: Column) -> Column:
     return F.coalesce(F.get(F.filter(told, lambda x: x.isNotNull()), F.lit(0)), second, first).cast("double")
 
 
-# Frequent words that tell the languages apart.
-FRENCH = ("le", "la", "les", "des", "une", "est", "et", "dans", "que", "qui", "pour", "pas", "sur", "avec", "ce", "sont", "nous", "vous", "du", "au")
-ENGLISH = ("the", "and", "of", "to", "is", "in", "that", "it", "for", "on", "with", "this", "are", "was", "be", "not", "you", "have", "from", "at")
-
-
-def language(text: Column, distance: float = 0.1) -> Column:
-    """fr, en or other: whose frequent words hold a larger share of the text's words, by ``distance`` of both together."""
-    words = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}]+", " ")), " ")
-    hits = lambda known: F.size(F.filter(words, lambda w: w.isin(*known)))
-    fr, en = hits(FRENCH), hits(ENGLISH)
-    clear = F.abs(fr - en) >= distance * (fr + en)
-    return F.when((fr + en == 0) | ~clear, F.lit("other")).when(fr > en, F.lit("fr")).otherwise(F.lit("en"))
-
-
-def sentiment(text: Column, lang: Column, fr: tuple[Column, Column], en: tuple[Column, Column]) -> Column:
-    """struct<label, score, model>: neutral and 0 for texts of under three characters, else the French model's answer
-    (label, score) for French texts and the English one's for all others."""
-    short = F.length(F.trim(F.coalesce(text, F.lit("")))) < 3
-    made = lambda label, score, model: F.struct(label.alias("label"), score.cast("double").alias("score"), F.lit(model).alias("model"))
-    return (F.when(short, made(F.lit("neutral"), F.lit(0.0), "skipped")).when(lang == "fr", made(sentiment_label(fr[0]), fr[1], "fr"))
-            .otherwise(made(sentiment_label(en[0]), en[1], "en")))
-
-
 def from_half(raw: Column) -> Column:
     """array<float> from little-endian half-precision bytes, two a component."""
     word = lambda i: F.conv(F.hex(F.concat(F.substring(raw, i * 2 + 2, F.lit(1)), F.substring(raw, i * 2 + 1, F.lit(1)))), 16, 10).cast("int")

@@ -281,7 +281,7 @@ def cluster_centroids(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in narratives.STOP_WORDS)
 _WORDS = f""", dw AS (SELECT lang AS cluster, doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w FROM documents WHERE length(text) > 5),
 g AS (SELECT cluster, doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM dw), tf AS (SELECT cluster, doc_id, term, count(*) AS tf FROM g GROUP BY ALL),
-n AS (SELECT cluster, count(*) AS n FROM dw GROUP BY 1), idf AS (SELECT cluster, term, n, ln((1 + n)::DOUBLE / (1 + count(*))) + 1 AS idf FROM tf JOIN n USING (cluster) GROUP BY cluster, term, n HAVING count(*) >= 2),
+n AS (SELECT cluster, count(*) AS n FROM dw GROUP BY 1), idf AS (SELECT cluster, term, n, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT cluster, term, count(*) AS df, row_number() OVER (PARTITION BY cluster ORDER BY sum(tf) DESC, term) AS p FROM tf GROUP BY cluster, term HAVING count(*) >= 2) JOIN n USING (cluster) WHERE p <= 200),
 x AS (SELECT cluster, doc_id, term, n, tf * idf AS x FROM tf JOIN idf USING (cluster, term)), nn AS (SELECT cluster, doc_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2),
 m AS (SELECT cluster, term, round(sum(x / norm) / max(n), 6) AS weight FROM x JOIN nn USING (cluster, doc_id) GROUP BY 1, 2), kw AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS place FROM m QUALIFY place <= 8)"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flockscope import tables as T
 from flockscope.functions import scalars as S
-from flockscope.operators import graph, hierarchy, narratives, neighbours, store
+from flockscope.operators import graph, hierarchy, language, manifold, narratives, neighbours, store
 from flockscope.operators import investigation as V
 from flockscope.plans.catalog import query
 from flockscope.sources import scraper
@@ -73,23 +73,46 @@ def label_ai_score(spark, d):
     return T.plain_posts(spark, d).select("post_id", F.round(S.ai_score(results), 6).alias("score"))
 
 
-def _votes(words) -> str:
-    return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words) + ")))"
+LANGUAGES = ("de", "en", "es", "fr")
 
+_LANG = """, lt AS (SELECT doc_id, lang, coalesce(text, '') AS text, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
+gr AS (SELECT doc_id, lang, gram, count(*) AS n FROM (SELECT doc_id, lang, t[i:i + 2] AS gram FROM (SELECT doc_id, lang, t, unnest(range(1, length(t) - 1)) AS i FROM lt)) GROUP BY ALL),
+lc AS (SELECT lang, gram, sum(n) AS n FROM gr WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY 1, 2),
+vo AS (SELECT DISTINCT gram FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS p FROM lc) WHERE p <= 500),
+tot AS (SELECT l.lang, coalesce(sum(n), 0) AS total FROM (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) l LEFT JOIN (SELECT lang, n FROM lc JOIN vo USING (gram)) c ON c.lang = l.lang GROUP BY 1),
+lp AS (SELECT vo.gram, tot.lang, ln((coalesce(n, 0) + 1)::DOUBLE / (total + (SELECT count(*) FROM vo))) AS p FROM vo CROSS JOIN tot LEFT JOIN lc ON lc.gram = vo.gram AND lc.lang = tot.lang),
+sc AS (SELECT doc_id, lp.lang, sum(n * p) AS s FROM gr JOIN lp USING (gram) GROUP BY 1, 2),
+sh AS (SELECT doc_id, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) / sum(exp(s - m)) OVER (PARTITION BY doc_id) AS share FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM sc)),
+bs AS (SELECT doc_id, arg_max(lang, share) AS best, max(share) AS one, list_sort(list(share), 'DESC')[2] AS two FROM sh GROUP BY 1),
+g AS (SELECT doc_id, text, CASE WHEN one - two >= 0.1::DOUBLE AND best IN ('fr', 'en') THEN best ELSE 'other' END AS language FROM lt LEFT JOIN bs USING (doc_id)) """
 
-_LANG = f", w AS (SELECT doc_id, string_split(lower(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]+', ' ', 'g')), ' ') AS w, coalesce(text, '') AS text FROM documents), v AS (SELECT doc_id, text, {_votes(S.FRENCH)} AS fr, {_votes(S.ENGLISH)} AS en FROM w), g AS (SELECT doc_id, text, CASE WHEN fr + en = 0 OR abs(fr - en) < 0.1::DOUBLE * (fr + en) THEN 'other' WHEN fr > en THEN 'fr' ELSE 'en' END AS language FROM v) "
+
+def _languages(spark, d):
+    docs = T.load(spark, d, "documents")
+    return language.detect(docs.select("doc_id", "text"), "text", language.profiles(docs, LANGUAGES), LANGUAGES)
 
 
 @query(_LANG + "SELECT doc_id, language FROM g")
 def detected_language(spark, d):
-    return T.load(spark, d, "documents").select("doc_id", S.language(F.col("text")).alias("language"))
+    """Profiles from all documents, then each document's language."""
+    return _languages(spark, d).select("doc_id", "language")
+
+
+def french_stand_in():
+    """Stands for the French model: its labels are stars."""
+    return lambda texts: [(f"{n} star{'s' * (n > 1)}", 0.5) for n in (len(t) % 5 + 1 for t in texts)]
+
 
+def english_stand_in():
+    """Stands for the English model: its labels are numbered."""
+    return lambda texts: [(f"LABEL_{len(t) % 3}", 0.75) for t in texts]
 
-@query(_LANG + "SELECT doc_id, CASE WHEN length(trim(text)) < 3 THEN 'neutral' WHEN language = 'fr' THEN 'negative' ELSE 'positive' END AS label, CASE WHEN length(trim(text)) < 3 THEN 0.0::DOUBLE WHEN language = 'fr' THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS score, CASE WHEN length(trim(text)) < 3 THEN 'skipped' WHEN language = 'fr' THEN 'fr' ELSE 'en' END AS model FROM g")
+
+@query(_LANG + """SELECT doc_id, CASE WHEN length(t) < 3 THEN 'neutral' WHEN language = 'fr' THEN ['negative', 'negative', 'neutral', 'positive', 'positive'][length(t) % 5 + 1] ELSE ['negative', 'neutral', 'positive'][length(t) % 3 + 1] END AS label,
+CASE WHEN length(t) < 3 THEN 0.0::DOUBLE WHEN language = 'fr' THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END AS score, CASE WHEN length(t) < 3 THEN 'skipped' WHEN language = 'fr' THEN 'fr' ELSE 'en' END AS model FROM (SELECT doc_id, language, trim(text, ' ') AS t FROM g)""")
 def text_sentiment(spark, d):
-    """Which model speaks and what its label means; the models' answers stand as constants."""
-    docs = T.load(spark, d, "documents")
-    return docs.select("doc_id", F.inline(F.array(S.sentiment(F.col("text"), S.language(F.col("text")), (F.lit("2 stars"), F.lit(0.5)), (F.lit("LABEL_2"), F.lit(0.75))))))
+    """Which model speaks and what its label means; stand-ins for the models answer by a text's length."""
+    return language.sentiments(_languages(spark, d), "text", "language", french_stand_in, english_stand_in).select("doc_id", "label", "score", "model")
 
 
 # vectors and hashes
@@ -107,6 +130,12 @@ def hashed_embeddings(spark, d):
     return T.load(spark, d, "labels").join(T.load(spark, d, "documents"), "doc_id").select("doc_id", narratives.hashed_embedding(F.substring("text", 1, 400), 64).alias("v"))
 
 
+@query()
+def reduced_manifold(spark, d):
+    """All vectors in ten dimensions in which neighbours stay neighbours."""
+    return manifold.reduced_manifold(_vectors(spark, d), 10)
+
+
 @query()
 def reduced_vectors(spark, d):
     return narratives.reduced(T.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10)
