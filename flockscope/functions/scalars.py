@@ -124,7 +124,7 @@ def artifact_tier(luma: Column) -> Column:
 
 
 def laplacian_artifact(variance: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), variance / 500)), F.lit(0.5))
+    return F.when(variance.isNull() | F.isnan(variance), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), variance / 500)))
 
 
 def frame_budget(seconds: Column, most: int | None = None) -> Column:

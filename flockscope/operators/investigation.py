@@ -144,18 +144,21 @@ def suspicion(summary: DataFrame, media: DataFrame, campaigns: DataFrame) -> Dat
     return s.select("account_id", F.round(F.least(F.lit(1.0), one + F.when(F.coalesce("seen_count", F.lit(0)) > 1, 0.10).otherwise(0.0)), 2).alias("suspicion"))
 
 
-def thread_depths(comments: DataFrame, thread: str, comment: str, parent: str, most: int = 100) -> DataFrame:
-    """(thread, comment, depth): comments below those without a parent in their thread, level by level as deep as they go."""
+def thread_depths(comments: DataFrame, thread: str, comment: str, parent: str) -> DataFrame:
+    """(thread, comment, depth): steps from each comment up to one whose parent is not in its thread, however deep.
+
+    Pointers are followed twice as far each round.  A comment that stands there several times
+    has its least parent; comments that answer each other in a circle are left out."""
     from flockscope.sources.shared import settle
 
-    rows = comments.select(F.col(thread).alias("_t"), F.col(comment).alias("_c"), F.col(parent).alias("_p"))
-    ids = rows.select("_t", F.col("_c").alias("_p"))
-    level = settle(rows.join(ids, ["_t", "_p"], "left_anti").select("_t", "_c"))
-    found, depth = level.withColumn("depth", F.lit(0)), 0
-    while depth < most:
-        depth += 1
-        level = settle(rows.join(level.select("_t", F.col("_c").alias("_p")), ["_t", "_p"]).select("_t", "_c"))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
-    return found.select(F.col("_t").alias(thread), F.col("_c").alias(comment), "depth")
+    rows = settle(comments.select(F.col(thread).alias("_t"), F.col(comment).alias("_c"), F.col(parent).alias("_p")).groupBy("_t", "_c").agg(F.min("_p").alias("_p")))
+    ids = rows.select(F.col("_t").alias("_t2"), F.col("_c").alias("_c2"))
+    up = rows.join(ids, (F.col("_t") == F.col("_t2")) & (F.col("_p") == F.col("_c2")), "left")
+    state = settle(up.select("_t", "_c", F.col("_c2").alias("_up"), F.col("_c2").isNotNull().cast("long").alias("depth")))
+    n, reach = state.count(), 1
+    while reach <= n and not state.filter("_up is not null").isEmpty():
+        hop = state.select(F.col("_t").alias("_t2"), F.col("_c").alias("_c2"), F.col("_up").alias("_next"), F.col("depth").alias("_more"))
+        far = state.join(hop, (F.col("_t") == F.col("_t2")) & (F.col("_up") == F.col("_c2")), "left")
+        state = settle(far.select("_t", "_c", F.col("_next").alias("_up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth")))
+        reach *= 2
+    return state.filter("_up is null").select(F.col("_t").alias(thread), F.col("_c").alias(comment), F.col("depth").cast("int").alias("depth"))

@@ -177,15 +177,21 @@ def centroid_vectors(vectors: DataFrame, cluster: str) -> DataFrame:
 def hashed_embedding(text, dim: int = 384):
     """array<float>: the signed counts of a text's words by hash, of length 1; zeros for texts of under three characters."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    cell = lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")
-    sign = lambda w: F.when(F.xxhash64(w, F.lit(1)) % 2 == 0, 1.0).otherwise(-1.0)
-    pairs = F.transform(words, lambda w: F.struct(cell(w).alias("c"), sign(w).alias("s")))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    # words one by one, each changing one cell
-    total = F.aggregate(pairs, zero, lambda acc, p: F.concat(F.slice(acc, F.lit(1), p["c"]), F.array(F.get(acc, p["c"]) + p["s"]), F.slice(acc, p["c"] + 2, F.lit(dim))))
-    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x))
+    # a word's cell, shifted by one for its sign; the counting is one pass over these numbers
+    codes = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int") * 2 + F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)).cast("int"))
     long = F.length(F.trim(F.coalesce(text, F.lit("")))) >= 3
-    return F.transform(F.when(long, total).otherwise(zero), lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+    @F.pandas_udf("array<float>")
+    def counted(series: pd.Series) -> pd.Series:
+        def one(code: np.ndarray) -> np.ndarray:
+            code = np.asarray(code, np.int64)
+            total = np.bincount(code >> 1, weights=1.0 - 2.0 * (code & 1), minlength=dim)
+            norm = np.linalg.norm(total)
+            return (total / norm if norm else total).astype(np.float32)
+
+        return series.map(one)
+
+    return counted(F.when(long, codes).otherwise(F.array().cast("array<int>")))
 
 
 def reduced(vectors: DataFrame, dim: int = 50, least: int = 20) -> DataFrame:
@@ -202,20 +208,74 @@ def reduced(vectors: DataFrame, dim: int = 50, least: int = 20) -> DataFrame:
     return model.transform(dense).select("id", vector_to_array("o").alias("v"))
 
 
-def near_hashes(rows: DataFrame, distance: int, bits: int = 64) -> DataFrame:
+def near_hashes(rows: DataFrame, distance: int, bits: int = 64, most: int = 256) -> DataFrame:
     """Pairs (a, b, apart), a < b, of rows(id, h) whose perceptual hashes differ in at most ``distance`` bits.
 
-    Hashes are cut into one band more than bits may differ, so that a pair shares a band;
-    equal hashes are collapsed to their least id first, which stands for all of them."""
-    one = rows.filter("h is not null").groupBy("h").agg(F.min("id").alias("id"))
+    Equal hashes are collapsed to their least id first, which stands for all of them.  Hashes
+    are cut into one band more than bits may differ, so that a pair shares a band.  A band's
+    value that more than ``most`` hashes have is no key by itself: of what is left of these
+    hashes a pair shares one of as many bands again, and so on until the bits run out, so
+    that a common value is spread over many keys."""
+    one = settle(rows.filter("h is not null").groupBy("h").agg(F.min("id").alias("id")).select("id", F.col("h").cast("long").alias("h")))
+    found, level = None, one.select("id", "h", F.lit(0).alias("key"), F.lit("").alias("path"), F.sequence(F.lit(0), F.lit(bits - 1)).alias("open"))
     bands = distance + 1
-    width = -(-bits // bands)
-    mask = (1 << width) - 1
-    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.call_function("shiftrightunsigned", F.col("h"), i * width).bitwiseAND(F.lit(mask)).alias("part")))
-    banded = one.select("id", "h", F.inline(cut))
-    x, y = banded.alias("x"), banded.alias("y")
-    pairs = x.join(y, ["band", "part"]).filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))).cast("long").alias("apart"))
-    return pairs.filter(F.col("apart") <= distance).distinct()
+    while True:
+        # the open bits are cut into bands; a key is what a band holds, below the keys before it
+        width = F.ceil(F.size("open") / bands).cast("int")
+        cut = level.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1)))).withColumn("from", F.col("band") * width).filter(F.col("from") < F.size("open"))
+        taken = F.slice("open", F.col("from") + 1, width)
+        value = F.aggregate(taken, F.lit(0).cast("long"), lambda a, b: a * 2 + F.call_function("shiftrightunsigned", F.col("h"), b).bitwiseAND(F.lit(1)))
+        cut = cut.select("id", "h", F.xxhash64("key", "band", value).alias("key"), F.concat_ws(".", "path", "band").alias("path"), F.array_except("open", taken).alias("open"))
+        cut = settle(cut)
+        common = settle(cut.groupBy("key", "path").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("open")).alias("left")).filter((F.col("n") > most) & (F.col("left") > distance)).select("key", "path"))
+        plain = cut.join(common, ["key", "path"], "left_anti").select("key", "path", "id", "h")
+        x = plain.select("key", "path", F.col("id").alias("a"), F.col("h").alias("x"))
+        y = plain.select(F.col("key").alias("_k"), F.col("path").alias("_p"), F.col("id").alias("b"), F.col("h").alias("y"))
+        apart = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("long")
+        pairs = x.join(y, (F.col("key") == F.col("_k")) & (F.col("path") == F.col("_p")) & (F.col("a") < F.col("b"))).select("a", "b", apart.alias("apart")).filter(F.col("apart") <= distance)
+        found = pairs if found is None else found.unionByName(pairs)
+        level = cut.join(common, ["key", "path"])
+        if common.isEmpty():
+            return found.distinct()
+
+
+def match_narratives(new: DataFrame, known: DataFrame, least: float = 0.82) -> DataFrame:
+    """(cluster, narrative_id, score, status, origin): new(cluster, centroid) against known(narrative_id, centroid), one to one.
+
+    The most similar pair of all is taken first, then the most similar of the rest, while cosines
+    reach ``least`` (ties: the smallest narrative, then cluster); rounds take all pairs at once that are
+    each other's first.  ``kept`` clusters go on as that narrative; ``split`` ones are near ``origin``, which
+    another cluster goes on as; ``new`` ones are near none.  Narratives nobody goes on as have rows of their
+    own: ``merged`` into the narrative ``origin`` that the nearest cluster goes on as (null where that one
+    is new itself), or ``gone``."""
+    n = settle(new.select(F.col("cluster").cast("long").alias("cluster"), F.col("centroid").cast("array<double>").alias("v")))
+    k = settle(known.select("narrative_id", F.col("centroid").cast("array<double>").alias("v")))
+    # both sides as one list of vectors with an id each: even ones are new
+    tag = lambda df, side: df.select(F.col("c"), (F.shiftleft(F.xxhash64("c"), 1).bitwiseAND(F.lit((1 << 62) - 2)) + side).alias("id"), "v")
+    left, right = tag(n.withColumnRenamed("cluster", "c"), 0), tag(k.withColumnRenamed("narrative_id", "c"), 1)
+    near = similar_pairs(left.select("id", "v").unionByName(right.select("id", "v")), least).filter(F.col("a") % 2 != F.col("b") % 2)
+    near = near.select(F.when(F.col("a") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("a") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("y"), "score")
+    names = left.select(F.col("id").alias("x"), F.col("c").alias("cluster")), right.select(F.col("id").alias("y"), F.col("c").alias("narrative_id"))
+    near = settle(near.join(names[0], "x").join(names[1], "y").select("cluster", "narrative_id", "score"))
+    open_, taken = near, near.limit(0)
+    while not open_.isEmpty():
+        first = open_.groupBy("cluster").agg(F.min(F.struct((-F.col("score")).alias("s"), "narrative_id", "cluster")).alias("p")).select("p.*")
+        back = open_.groupBy("narrative_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "narrative_id", "cluster")).alias("p")).select(F.col("p.cluster").alias("_c"), F.col("p.narrative_id").alias("_n"))
+        both = settle(first.join(back, (F.col("cluster") == F.col("_c")) & (F.col("narrative_id") == F.col("_n"))).select("cluster", "narrative_id", (-F.col("s")).alias("score")))
+        taken = settle(taken.unionByName(both))
+        open_ = settle(open_.join(both.select("cluster"), "cluster", "left_anti").join(both.select("narrative_id"), "narrative_id", "left_anti"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), "narrative_id")).alias("p")
+    origin = near.join(taken, "cluster", "left_anti").groupBy("cluster").agg(best).select("cluster", F.col("p.narrative_id").alias("origin"), (-F.col("p.s")).alias("score"))
+    none = F.lit(None).cast(dict(known.dtypes)["narrative_id"])
+    kept = taken.select("cluster", "narrative_id", "score", F.lit("kept").alias("status"), none.alias("origin"))
+    split = origin.select("cluster", none.alias("narrative_id"), "score", F.lit("split").alias("status"), "origin")
+    fresh = n.select("cluster").join(near.select("cluster").distinct(), "cluster", "left_anti").select("cluster", none.alias("narrative_id"), F.lit(None).cast("double").alias("score"), F.lit("new").alias("status"), none.alias("origin"))
+    into = near.join(taken.select("narrative_id"), "narrative_id", "left_anti").groupBy("narrative_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "cluster")).alias("p"))
+    into = into.select("narrative_id", F.col("p.cluster").alias("cluster"), (-F.col("p.s")).alias("score")).join(taken.select("cluster", F.col("narrative_id").alias("origin")), "cluster", "left")
+    merged = into.select(F.lit(None).cast("long").alias("cluster"), "narrative_id", "score", F.lit("merged").alias("status"), "origin")
+    gone = k.select("narrative_id").join(near.select("narrative_id").distinct(), "narrative_id", "left_anti")
+    gone = gone.select(F.lit(None).cast("long").alias("cluster"), "narrative_id", F.lit(None).cast("double").alias("score"), F.lit("gone").alias("status"), none.alias("origin"))
+    return kept.unionByName(split).unionByName(fresh).unionByName(merged).unionByName(gone)
 
 
 def topics(rows: DataFrame, terms: DataFrame, cluster: str, k: int = 3) -> DataFrame:

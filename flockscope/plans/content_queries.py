@@ -127,7 +127,7 @@ def half_precision_vectors(spark, d):
 
 @query()
 def hashed_embeddings(spark, d):
-    return T.load(spark, d, "labels").join(T.load(spark, d, "documents"), "doc_id").select("doc_id", narratives.hashed_embedding(F.substring("text", 1, 400), 64).alias("v"))
+    return T.load(spark, d, "documents").select("doc_id", narratives.hashed_embedding(F.col("text"), 64).alias("v"))
 
 
 @query()
@@ -155,6 +155,15 @@ def perceptual_near_duplicates(spark, d):
     return narratives.near_hashes(T.load(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.col("p_partkey") * 40503) % 65536).alias("h")), 2, 16)
 
 
+@query("""SELECT (label * 7 + 3) % 10 AS cluster, 'n' || label AS narrative_id, 1.0::DOUBLE AS score, 'kept' AS status FROM (SELECT DISTINCT label FROM embeddings)""")
+def narrative_identity(spark, d):
+    """Clusters that come numbered another way keep their narratives."""
+    v = T.load(spark, d, "embeddings").select("label", F.col("embedding").alias("v"))
+    known = narratives.centroid_vectors(v, "label").select(F.concat(F.lit("n"), F.col("cluster").cast("string")).alias("narrative_id"), "centroid")
+    new = narratives.centroid_vectors(v.withColumn("label", (F.col("label") * 7 + 3) % 10), "label")
+    return narratives.match_narratives(new, known).select(F.col("cluster").cast("int").alias("cluster"), "narrative_id", F.round("score", 5).alias("score"), "status")
+
+
 # patches, counters, reports
 
 @query("SELECT post_id, CASE WHEN k % 2 = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN k % 2 = 0 THEN 'positive' END AS label, CASE WHEN k % 2 = 0 THEN is_duplicate_of END AS is_duplicate_of FROM posts")
