@@ -42,7 +42,7 @@ def stream_burst_sliding(spark, d):
 
 @query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g")
 def stream_sessions(spark, d):
-    out = P.finished_sessions(spark, _events(spark, d), "at", ["user_id"], "2 hours", "2 days")
+    out = state.sessions(spark, _events(spark, d), "at", ["user_id"], "2 hours", "2 days")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -53,8 +53,8 @@ def stream_after_backfill(spark, d):
     shape = lambda s: s.filter("event_type <> 'error'").select("event_id", "event_type")
     from flockscope.tables import load
 
-    P.backfill_then_stream(load(spark, d, "events").filter("event_type in ('view', 'click')"), _events(spark, d), shape, f"{folder}/out", f"{folder}/checkpoint", ["event_id"])
-    return spark.read.parquet(f"{folder}/out/history").unionByName(spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out/stream"))
+    history = load(spark, d, "events").filter("event_type in ('view', 'click')")
+    return P.backfill_then_stream(history, _events(spark, d), shape, f"{folder}/out", f"{folder}/checkpoint", ["event_id"], []).read()
 
 
 _JOBS = """, e AS (SELECT user_id || '-' || kk % 8 AS job_id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE 'claim' END AS kind,

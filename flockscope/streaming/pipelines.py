@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from flockscope.sources.keyed import KeyedTable, retried
+
 
 def read_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A Parquet table as a stream of its files."""
@@ -82,29 +84,13 @@ def sliding_counts(spark: SparkSession, stream: DataFrame, time: str, by: list[s
     return rows.groupBy("start", *by).agg(F.max(F.struct("batch", "n")).alias("l")).select("start", *by, F.col("l.n").alias("n")).filter(F.col("n") >= least)
 
 
-def finished_sessions(spark: SparkSession, stream: DataFrame, time: str, by: list[str], gap: str, late: str) -> DataFrame:
-    """(start, end, key, n) of all sessions of a stream that is read to its end; open ones count as they stand."""
-    folder = work_folder(spark)
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/b{number}")
-
-    run_available(sessions(stream, time, by, gap, late), f"{folder}/out", f"{folder}/checkpoint", "complete", put)
-    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out")
-    last = rows.agg(F.max("batch").alias("b"))  # each batch holds all sessions, the last one as they ended
-    return rows.join(F.broadcast(last), F.col("batch") == F.col("b")).select("start", "end", *by, "n")
-
-
-def backfill_then_stream(history: DataFrame, stream: DataFrame, shape: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: list[str]) -> None:
-    """History first, as a batch, then what streams in, through the same ``shape``; rows whose key the history holds are not written again."""
-    spark = history.sparkSession
-    shape(history).write.mode("overwrite").parquet(f"{out}/history")
-    done = spark.read.parquet(f"{out}/history").select(*key)
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.join(done, key, "left_anti").write.mode("overwrite").parquet(f"{out}/stream/b{number}")
-
-    run_available(shape(stream), f"{out}/stream", checkpoint, "append", put)
+def backfill_then_stream(history: DataFrame, stream: DataFrame, shape: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: list[str], order: list[str]) -> KeyedTable:
+    """History first, as a batch, then what streams in, through the same ``shape``, into a keyed table: a key is written once,
+    whether it comes in the history, in several batches or again after a failure."""
+    table = KeyedTable(history.sparkSession, out, key)
+    retried(lambda: table.insert_absent(shape(history), order))
+    run_available(shape(stream), out, checkpoint, "append", lambda batch, number: retried(lambda: table.insert_absent(batch, order)))
+    return table
 
 
 def poll(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = 120) -> StreamingQuery:

@@ -122,6 +122,61 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
+class Sessions(StatefulProcessor):
+    """The sessions of one key that rows may still reach: those that change are written, with no rows where one was merged away."""
+
+    def __init__(self, gap: int, names: list[str]) -> None:
+        self.gap, self.names = gap, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "starts array<long>, ends array<long>, counts array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
+        times = np.concatenate([r["event_micros"].to_numpy(np.int64) for r in rows])
+        merged: list[list[int]] = []
+        for start, end, n in sorted([*old, *[(int(t), int(t) + self.gap, 1) for t in times]]):
+            if merged and start < merged[-1][1]:
+                merged[-1][1:] = [max(end, merged[-1][1]), merged[-1][2] + n]
+            else:
+                merged.append([start, end, n])
+        now = [tuple(m) for m in merged]
+        changed = [s for s in now if s not in old] + [(s, e, 0) for s, e, _ in old if s not in {m[0] for m in now}]
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = [s for s in now if s[1] > mark] or now[-1:]
+        self.open.update(tuple(list(c) for c in zip(*kept, strict=True)))
+        self.handle.registerTimer(max(e for _, e, _ in kept) // 1000 + 1)
+        yield pd.DataFrame([(*key, *s) for s in changed], columns=[*self.names, "start", "end", "n"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists() and max(self.open.get()[1]) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.open.clear()
+        yield pd.DataFrame([], columns=[*self.names, "start", "end", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def sessions(spark: SparkSession, stream: DataFrame, time: str, by: list[str], gap: str, late: str, folder: str | None = None) -> DataFrame:
+    """(key, start, end, n): runs of events less than ``gap`` apart, after the whole stream; open ones count as they stand.
+
+    State holds only sessions that late rows may still reach, and a batch writes only those that it changes."""
+    folder = folder or work_folder(spark)
+    rows = stream.filter(F.col(time).isNotNull()).withWatermark(time, late).select(*by, F.col(time).alias("event_time"), F.unix_micros(time).alias("event_micros"))
+    keys = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n in by)
+    out = rows.groupBy(*by).transformWithStateInPandas(statefulProcessor=Sessions(int(pd.Timedelta(gap).total_seconds() * 1e6), by),
+                                                      outputStructType=f"{keys}, start long, end long, n long", outputMode="Update", timeMode="EventTime")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/b{number}")
+
+    _with_rocks(spark, lambda: run_available(out, f"{folder}/out", f"{folder}/checkpoint", "update", put))
+    found = spark.read.schema(f"{_ddl(out)}, batch int").option("recursiveFileLookup", True).parquet(f"{folder}/out")
+    last = found.groupBy(*by, "start").agg(F.max(F.struct("batch", "end", "n")).alias("l")).filter("l.n > 0")
+    return last.select(*by, F.timestamp_micros("start").alias("start"), F.timestamp_micros("l.end").alias("end"), F.col("l.n").alias("n"))
+
+
 class Recent(StatefulProcessor):
     """Each row's most similar among the ``most`` rows before it in its group, in the order of (at, id) within a batch."""
 

@@ -82,3 +82,65 @@ def test_recent_duplicates(spark, tmp_path):
                 want.append((i, min(scores)[1], -min(scores)[0]))
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want] and len(want) > 5
     assert [c for *_, c in got] == pytest.approx([c for *_, c in want])
+
+
+def test_sessions_over_batches(spark, tmp_path):
+    """Rows that come late, but not too late, join sessions of batches before; each batch starts and merges some."""
+    rng = random.Random(6)
+    rows = sorted((rng.randint(0, 3 * 86_400), f"u{rng.randint(0, 4)}", rng.choice(["a", "b"])) for _ in range(160))
+    late = [rows.pop(rng.randrange(40, 60)) for _ in range(10)]
+    parts = [rows[:60], [*rows[60:100], *late], rows[100:]]
+    for p, part in enumerate(parts):
+        frame = [(u, k, pd.Timestamp(t, unit="s").to_pydatetime()) for t, u, k in part]
+        spark.createDataFrame([*frame, ("u0", "a", None)], "user string, kind string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/p{p}")
+    stream = spark.readStream.schema("user string, kind string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = S.sessions(spark, stream, "ts", ["user", "kind"], "2 hours", "2 days")
+    got = sorted((r.user, r.kind, r.start.timestamp(), r.end.timestamp(), r.n) for r in out.collect())
+    want = []
+    for u in range(5):
+        for k in "ab":
+            last = None
+            for t in sorted(t for part in parts for t, x, y in part if (x, y) == (f"u{u}", k)):
+                if last is not None and t < last[3]:
+                    last[3:] = [t + 7200, last[4] + 1]
+                else:
+                    last = [f"u{u}", k, t, t + 7200, 1]
+                    want.append(last)
+    want = sorted(map(tuple, want))
+    assert [(u, k, e - s, n) for u, k, s, e, n in got] == [(u, k, e - s, n) for u, k, s, e, n in want]
+    assert sum(n for *_, n in got) == 160 and len(want) > 40 and max(n for *_, n in want) > 2
+
+
+def test_backfill_writes_a_key_once(spark, tmp_path):
+    from flockscope.streaming import pipelines as P
+
+    history = spark.createDataFrame([(1, "h"), (2, "h")], "id long, v string")
+    for p, rows in enumerate([[(2, "s"), (3, "s")], [(3, "t"), (4, "t"), (4, "u")]]):
+        spark.createDataFrame(rows, "id long, v string").coalesce(1).write.parquet(f"{tmp_path}/in/p{p}")
+    stream = spark.readStream.schema("id long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for _ in range(2):  # the second time there is nothing new
+        table = P.backfill_then_stream(history, stream, lambda df: df, f"file://{tmp_path}/out", f"{tmp_path}/checkpoint", ["id"], ["v"])
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, "h"), (2, "h"), (3, "s"), (4, "t")]
+
+
+def test_workers_get_the_package(tmp_path):
+    """A program elsewhere that only has the package on its own path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from flockscope.session import session
+from flockscope.operators import language
+spark = session("elsewhere", spark__master="local[1]", spark__ui__enabled="false")
+docs = spark.createDataFrame([("en", "the house and the garden"), ("fr", "la maison et le jardin")], "lang string, text string")
+model = language.profiles(docs, ("en", "fr"))
+print("told", sorted(r.language for r in language.detect(docs, "text", model, ("en", "fr")).collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=150)
+    assert "told ['en', 'fr']" in done.stdout, done.stderr[-2000:]
