@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockscope import tables as T
@@ -210,9 +210,11 @@ def subgraph_kinds(spark, d):
 def copy_chains(spark, d):
     """Chains of copies of copies, five steps from the original: each copy is taken to be made from the one before it."""
     p = T.posts(spark, d).select("post_id", F.coalesce("is_duplicate_of", "post_id").alias("root"))
-    rows = p.groupBy("root").agg(F.array_sort(F.collect_list("post_id")).alias("ids"))
-    steps = rows.select(F.inline(F.arrays_zip(F.slice("ids", F.lit(2), F.size("ids")).alias("src"), F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))).alias("dst"))))
-    return graph.chains(steps.filter("src is not null"), 5)
+    # five steps need the first six posts of an original, cut before the shuffle
+    own = Window.partitionBy("root").orderBy("post_id")
+    first = p.withColumn("n", F.row_number().over(own)).filter("n <= 6")
+    steps = first.select(F.col("post_id").alias("src"), F.lag("post_id").over(own).alias("dst"))
+    return graph.chains(steps.filter("dst is not null"), 5)
 
 
 @query(_FULL + "SELECT account_id, post_id, kind FROM (SELECT src AS account_id, dst AS post_id, rel AS kind FROM gg WHERE rel IN ('A_PUBLIE', 'A_COMMENTE', 'A_FORWARDE'))")
