@@ -128,7 +128,9 @@ def find_lexicon(counts: pd.DataFrame, n_toxic: int, n_clean: int, size: int, od
 
 
 class LabelModel:
-    """Two latent classes; per class each voter's firing rate; voters weighed down by their correlations."""
+    """Two latent classes; per class each voter's firing rate; voters weighed down by their correlations.
+
+    The second class is toxic and taken to be the rarer one: its share is held between 0.001 and one half."""
 
     def __init__(self, patterns: np.ndarray, weight: np.ndarray, start: np.ndarray, prior: float, rounds: int = 30) -> None:
         self.prior = prior
