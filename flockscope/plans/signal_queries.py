@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flockscope import tables as T
 from flockscope.operators import signals as G
 from flockscope.plans.catalog import query
+from flockscope.sources.shared import settle
 
 _COMMUNITY = lambda p: p.select("account_id", "community_id").distinct()
 _RANKS = lambda p: p.groupBy("account_id").agg((F.sum("likes") / 1000.0).alias("score"))
@@ -71,5 +72,5 @@ SELECT narrative_id, confidence, signals, start, "end", duplicate_ratio, platfor
 
 @query(_CAMPAIGNS)
 def campaigns(spark, d):
-    p = T.posts(spark, d)
+    p = settle(T.posts(spark, d))  # six signals read them
     return G.campaigns(p, _COMMUNITY(p), _RANKS(p), reuse=0.58, burst_posts=12, synthetic_ratio=0.1, top=20)
