@@ -127,23 +127,23 @@ def keywords(docs: DataFrame, cluster: str, text: str, key: str, k: int = 8, min
     Words of two letters or more without stop words, and their pairs; of those in ``min_df``
     documents the ``features`` most frequent of the cluster (ties in the order of terms); idf
     is ln((1 + n) / (1 + df)) + 1 within the cluster; documents' rows have length 1.
-    Terms are counted where a document is read; only their sums by cluster are shuffled,
-    and the documents meet nothing but their cluster's ``features`` terms.
+    Terms are counted where a document is read; their sums by cluster are shuffled, and of
+    a document's own only the cluster's ``features`` terms.
     """
     d = docs.filter(F.length(text) > least_chars).select(F.col(cluster).alias("cluster"), F.lower(text).alias("_t"))
     words = F.filter(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     kind = docs.schema[cluster].dataType.simpleString()
     counted = d.select("cluster", words.alias("w")).mapInArrow(lambda it: _frequencies(it, ngrams), f"cluster {kind}, terms array<struct<term: string, tf: bigint>>")
-    counted = settle(counted)
+    counted = settle(counted.withColumn("doc", F.monotonically_increasing_id()))
     n = counted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    terms = counted.select("cluster", F.inline("terms")).groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    tf = counted.select("cluster", "doc", F.inline("terms"))
+    terms = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("total"), "term"))
     first = terms.withColumn("_p", place).filter(F.col("_p") <= features).join(n, "cluster")
-    idf = F.struct("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    known = settle(first.groupBy("cluster").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(idf)).alias("idf")).withColumnRenamed("cluster", "_c"))
-    x = F.transform(F.filter("terms", lambda t: F.map_contains_key("idf", t["term"])), lambda t: F.struct(t["term"].alias("term"), (t["tf"] * F.try_element_at("idf", t["term"])).alias("x")))
-    rows = counted.join(known, F.col("cluster") == F.col("_c")).select("cluster", "n", x.alias("x"))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, t: a + t["x"] * t["x"])))
+    idf = settle(first.select(F.col("cluster").alias("_c"), F.col("term").alias("_t"), "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    # a document keeps ``features`` terms at most, which meet for its length
+    w = tf.join(idf, (F.col("cluster") == F.col("_c")) & (F.col("term") == F.col("_t"))).select("cluster", "doc", "term", "n", (F.col("tf") * F.col("idf")).alias("x"))
+    rows = w.groupBy("cluster", "doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max("n").alias("n"), F.collect_list(F.struct("term", "x")).alias("x"))
     mean = rows.select("cluster", "n", "norm", F.inline("x")).groupBy("cluster", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")) / F.max("n"), 6).alias("weight"))
     return top_places(mean, "cluster", F.struct((-F.col("weight")).alias("_w"), F.col("term"), F.col("weight")), k).select("cluster", "_v.term", "_v.weight", "place")
 
