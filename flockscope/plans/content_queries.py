@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flockscope import tables as T
 from flockscope.functions import scalars as S
-from flockscope.operators import graph, hierarchy, language, manifold, narratives, neighbours, store
+from flockscope.operators import comembers, hierarchy, language, manifold, narratives, neighbours, store
 from flockscope.operators import investigation as V
 from flockscope.plans.catalog import query
 from flockscope.sources import scraper
@@ -226,7 +226,7 @@ def account_suspicion_ranked(spark, d):
     """Synthetic share, mean score, rank in the graph and burst score of accounts with three posts or more."""
     p = T.plain_posts(spark, d)
     touches = p.select("account_id", F.concat("narrative_id", "hashtag", V.day().cast("string")).alias("post_id"))
-    rank = graph.pagerank(p.select(F.col("account_id").alias("id")).distinct(), graph.projection(touches)).withColumnRenamed("id", "account_id").withColumnRenamed("score", "pagerank")
+    rank = comembers.pagerank(p.select(F.col("account_id").alias("id")).distinct(), comembers.memberships(touches, "post_id", "account_id")).withColumnRenamed("id", "account_id").withColumnRenamed("score", "pagerank")
     days = p.groupBy("account_id", V.day().alias("day")).agg(F.count(F.lit(1)).alias("n")).groupBy("account_id").agg((F.max("n") / F.avg("n")).alias("bot_score"))
     n = p.groupBy("account_id").agg(F.count(F.lit(1)).alias("posts"), F.round(100.0 * F.count_if(V.is_synthetic()) / F.count(F.lit(1)), 1).alias("synthetic_percent"), V.avg6("final_score").alias("avg_score")).filter("posts >= 3")
     return n.join(rank, "account_id", "left").join(days, "account_id", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
