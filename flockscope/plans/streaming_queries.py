@@ -9,12 +9,19 @@ from flockscope.streaming import pipelines as P
 from flockscope.streaming import state
 
 
-def _events(spark, d):
+def _stream(spark, d, name):
+    """A table as a stream, whether it is one file or a folder of them."""
     from flockscope.tables import load
 
-    schema = load(spark, d, "events").schema
-    folder, name = f"{d}", "events.parquet"
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
+    table = load(spark, d, name)
+    reader = spark.readStream.schema(table.schema)
+    if all(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}")
+    return reader.parquet(f"{d}/{name}.parquet")
+
+
+def _events(spark, d):
+    return _stream(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT event_id, user_id, event_type, 'k' || json_extract_string(props, '$.k') AS hashtag FROM events WHERE event_type <> 'error'")
@@ -89,8 +96,5 @@ def stream_job_queue(spark, d):
   FROM e a JOIN e b ON a.label = b.label AND b.rn BETWEEN a.rn - 40 AND a.rn - 1) WHERE p = 1 AND score >= 0.3::DOUBLE""".replace("SELECT id,", ", e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE embedding IS NOT NULL) SELECT id,", 1))
 def stream_recent_duplicates(spark, d):
     """Vectors in the order of their ids, each against the forty before it with its label."""
-    from flockscope.tables import load
-
-    stream = spark.readStream.schema(load(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
-    rows = stream.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("at"), "label")
+    rows = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("vec_id").alias("at"), "label")
     return state.found_duplicates(spark, state.recent_duplicates(rows, "label", 0.3, 40)).withColumn("score", F.round("score", 6))

@@ -144,3 +144,17 @@ print("told", sorted(r.language for r in language.detect(docs, "text", model, ("
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=150)
     assert "told ['en', 'fr']" in done.stdout, done.stderr[-2000:]
+
+
+def test_recent_duplicates_of_a_folder_of_files(spark, tmp_path):
+    """The table may be one file or a folder of part files, and may have none with rows."""
+    from oracle import DATA
+
+    from flockscope.plans.all_queries import QUERIES
+
+    table = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    table.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    one, many = (sorted(tuple(r) for r in QUERIES["stream_recent_duplicates"](spark, str(d)).collect()) for d in (DATA, tmp_path))
+    assert one == many and len(one) > 10
+    table.limit(0).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert QUERIES["stream_recent_duplicates"](spark, f"{tmp_path}/none").count() == 0
