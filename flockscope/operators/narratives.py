@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -25,6 +25,9 @@ STOP_WORDS = ("the", "and", "of", "to", "in", "is", "that", "it", "for", "on", "
 #: Vectors of a block; two of them and a strip of their product are what a task holds.
 BLOCK = 4096
 STRIP = 1024
+#: Words whose terms a task counts at a time, terms that every task holds.
+WORDS = 200_000
+FREQUENT = 100_000
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,43 +112,72 @@ def centroids(vectors: DataFrame, cluster: str) -> DataFrame:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], ngrams: int) -> Iterator[pa.RecordBatch]:
-    """Each document's terms and how often it has them."""
-    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    """A row for each document and term with how often it has it, for ``WORDS`` words at a time."""
     for b in batches:
-        rows = []
-        for words in b.column("w").to_pylist():
-            own = Counter(words)
+        lists, at = b.column("w"), 0
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + WORDS, side="right")) - 1)
+            words = lists.values.slice(offsets[at], offsets[upto] - offsets[at]).dictionary_encode()
+            code, size = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+            doc = np.repeat(np.arange(upto - at), np.diff(offsets[at : upto + 1]))
+            span = size + size * size  # a word, or a pair of words
+            keys = doc * span + code
             if ngrams == 2:
-                own.update(map(" ".join, zip(words, words[1:], strict=False)))
-            rows.append([{"term": t, "tf": n} for t, n in own.items()])
-        yield pa.RecordBatch.from_arrays([b.column("cluster"), pa.array(rows, kind)], ["cluster", "terms"])
-
-
-def keywords(docs: DataFrame, cluster: str, text: str, key: str, k: int = 8, min_df: int = 2, ngrams: int = 2, least_chars: int = 5, features: int = 200) -> DataFrame:
+                beside = doc[1:] == doc[:-1]
+                keys = np.concatenate([keys, (doc[1:] * span + size + code[:-1] * size + code[1:])[beside]])
+            keys, tf = np.unique(keys, return_counts=True)
+            doc, key = np.divmod(keys, max(span, 1))
+            pair = key >= size
+            one, two = np.divmod(key[pair] - size, max(size, 1))
+            take = lambda codes: words.dictionary.take(pa.array(codes))  # noqa: E731, B023
+            terms = pa.concat_arrays([take(key[~pair]), pc.binary_join_element_wise(take(one), take(two), " ")])
+            order = np.concatenate([np.flatnonzero(~pair), np.flatnonzero(pair)])
+            who = pa.array(doc[order] + at)
+            yield pa.RecordBatch.from_arrays([b.column("cluster").take(who), b.column("doc").take(who), terms, pa.array(tf[order].astype(np.int64))], ["cluster", "doc", "term", "tf"])
+            at = upto
+
+
+def keywords(docs: DataFrame, cluster: str, text: str, key: str, k: int = 8, min_df: int = 2, ngrams: int = 2, least_chars: int = 5, features: int | None = None) -> DataFrame:
     """(cluster, term, weight, place): the k terms with the largest mean tf-idf of each cluster.
 
-    Words of two letters or more without stop words, and their pairs; of those in ``min_df``
-    documents the ``features`` most frequent of the cluster (ties in the order of terms); idf
-    is ln((1 + n) / (1 + df)) + 1 within the cluster; documents' rows have length 1.
-    Terms are counted where a document is read; their sums by cluster are shuffled, and of
-    a document's own only the cluster's ``features`` terms.
+    Words of two letters or more without stop words, and their pairs, that ``min_df`` documents
+    have (with ``features`` only so many of the most frequent of the cluster, ties in the order
+    of terms); idf is ln((1 + n) / (1 + df)) + 1 within the cluster; documents' rows have length 1.
+    All terms count for a document's length: frequent ones meet it where it is read, others in a
+    shuffle.  No mean is above df / n, so only terms that can reach the k-th of the most common
+    ones have theirs computed.
     """
-    d = docs.filter(F.length(text) > least_chars).select(F.col(cluster).alias("cluster"), F.lower(text).alias("_t"))
+    d = docs.filter(F.length(text) > least_chars).select(F.col(cluster).alias("cluster"), F.lower(text).alias("_t"), F.monotonically_increasing_id().alias("doc"))
     words = F.filter(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     kind = docs.schema[cluster].dataType.simpleString()
-    counted = d.select("cluster", words.alias("w")).mapInArrow(lambda it: _frequencies(it, ngrams), f"cluster {kind}, terms array<struct<term: string, tf: bigint>>")
-    counted = settle(counted.withColumn("doc", F.monotonically_increasing_id()))
-    n = counted.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    tf = counted.select("cluster", "doc", F.inline("terms"))
+    tf = settle(d.select("cluster", "doc", words.alias("w")).mapInArrow(lambda it: _frequencies(it, ngrams), f"cluster {kind}, doc long, term string, tf long"))
+    n = d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     terms = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("total"), "term"))
-    first = terms.withColumn("_p", place).filter(F.col("_p") <= features).join(n, "cluster")
-    idf = settle(first.select(F.col("cluster").alias("_c"), F.col("term").alias("_t"), "n", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-    # a document keeps ``features`` terms at most, which meet for its length
-    w = tf.join(idf, (F.col("cluster") == F.col("_c")) & (F.col("term") == F.col("_t"))).select("cluster", "doc", "term", "n", (F.col("tf") * F.col("idf")).alias("x"))
-    rows = w.groupBy("cluster", "doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max("n").alias("n"), F.collect_list(F.struct("term", "x")).alias("x"))
-    mean = rows.select("cluster", "n", "norm", F.inline("x")).groupBy("cluster", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")) / F.max("n"), 6).alias("weight"))
-    return top_places(mean, "cluster", F.struct((-F.col("weight")).alias("_w"), F.col("term"), F.col("weight")), k).select("cluster", "_v.term", "_v.weight", "place")
+    if features is not None:
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("total"), "term"))
+        terms = terms.withColumn("_p", place).filter(F.col("_p") <= features)
+    idf = (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+    known = settle(terms.join(n, "cluster").select("cluster", "term", "n", "df", idf))
+    # the least power of two that so many terms reach as every task can hold
+    often = known.groupBy(F.floor(F.log2("df")).cast("int").alias("p")).count().orderBy(F.desc("p")).collect()  # 63 rows at most
+    held = np.cumsum([r["count"] for r in often]) <= FREQUENT
+    least = 2 ** min((r["p"] for r, ok in zip(often, held, strict=True) if ok), default=63)
+    frequent = known.filter(F.col("df") >= least).select("cluster", "term", F.col("idf").alias("_idf"))
+    met = tf.join(F.broadcast(frequent), ["cluster", "term"], "left")
+    rare = met.filter("_idf is null").join(known.filter(F.col("df") < least), ["cluster", "term"]).select("doc", "tf", "idf")
+    x = met.filter("_idf is not null").select("doc", "tf", F.col("_idf").alias("idf")).unionByName(rare).withColumn("x", F.col("tf") * F.col("idf"))
+    norm = settle(x.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))
+
+    def means(some: DataFrame) -> DataFrame:
+        rows = tf.join(some, ["cluster", "term"]).select("cluster", "doc", "term", "n", (F.col("tf") * F.col("idf")).alias("x")).join(norm, "doc")
+        return rows.groupBy("cluster", "term").agg(F.round(F.sum(F.col("x") / F.col("norm")) / F.max("n"), 6).alias("weight"))
+
+    order = F.struct((-F.col("weight")).alias("_w"), F.col("term"), F.col("weight"))
+    common = top_places(known, "cluster", F.struct((-F.col("df")).alias("_d"), "term", "n", "idf"), 8 * k).select("cluster", "_v.term", "_v.n", "_v.idf")
+    reach = settle(top_places(means(settle(common)), "cluster", order, k).filter(F.col("place") == k).select("cluster", F.col("_v.weight").alias("reach")))
+    able = known.join(F.broadcast(reach), "cluster", "left").filter(F.col("df") / F.col("n") + 1e-6 >= F.coalesce("reach", F.lit(0.0)))
+    return top_places(means(settle(able.select("cluster", "term", "n", "idf"))), "cluster", order, k).select("cluster", "_v.term", "_v.weight", "place")
 
 
 def top_places(rows: DataFrame, group: str, value, k: int, salt: int = 64) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,25 @@ def test_keywords_against_the_formula(spark):
                 mean[w] += v / norm / len(docs)
         want = sorted(((round(v, 6), w) for w, v in mean.items()), key=lambda x: (-x[0], x[1]))[:5]
         assert got[c] == {w: pytest.approx(v, abs=2e-6) for v, w in want}
+
+
+@pytest.mark.parametrize(("words", "frequent"), [(200_000, 100_000), (40, 10)])
+def test_keywords_count_all_terms(spark, words, frequent, monkeypatch):
+    """Terms past the two hundred most frequent count for a document's length; documents are read in parts of any size."""
+    monkeypatch.setattr(narratives, "WORDS", words)
+    monkeypatch.setattr(narratives, "FREQUENT", frequent)
+    rng = np.random.default_rng(7)
+    texts = {i: [f"w{x}" for x in rng.integers(0, 400, 30) ** 2 // 400] for i in range(80)}
+    tf = {i: Counter([*w, *map(" ".join, zip(w, w[1:]))]) for i, w in texts.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    assert sum(n >= 2 for n in df.values()) > 250
+    mean = Counter()
+    for c in tf.values():
+        x = {t: n * (np.log(81 / (1 + df[t])) + 1) for t, n in c.items() if df[t] >= 2}
+        length = np.sqrt(sum(v * v for v in x.values()))
+        for t, v in x.items():
+            mean[t] += v / length / 80
+    d = spark.createDataFrame([(i, "a", " ".join(w)) for i, w in texts.items()], "id long, c string, t string")
+    got = [(r.term, r.weight) for r in narratives.keywords(d, "c", "t", "id").orderBy("place").collect()]
+    want = sorted(((t, round(v, 6)) for t, v in mean.items()), key=lambda x: (-x[1], x[0]))[:8]
+    assert [t for t, _ in got] == [t for t, _ in want] and [w for _, w in got] == pytest.approx([w for _, w in want], abs=2e-6)
