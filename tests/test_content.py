@@ -1,5 +1,6 @@
 """Operators without SQL, and the ones whose edges the test tables do not reach."""
 
+import inspect
 import threading
 import time
 
@@ -198,3 +199,14 @@ def test_media_choice_prefers_posts_on_a_tie(spark):
     assert [r.media_id for r in nodes.media_of_account(media, posts, names).collect()] == [1, 3]
     assert [r.media_id for r in nodes.media_of_account(media, posts.filter("false"), names).collect()] == [2, 1]
     assert nodes.media_of_account(media, posts.filter("false"), names.filter("false")).count() == 0
+
+
+def test_betweenness_takes_many_sources_at_a_time(spark, small_graph, monkeypatch):
+    """Graphs of over a million edges need no joins, and the neighbours do not pass through the driver."""
+    n, e = small_graph
+    want = {r.id: r.score for r in graph.betweenness_by_joins(n, e).collect()}
+    monkeypatch.setattr(type(e), "toPandas", lambda self: pytest.fail("gathered on the driver"))
+    for batch in (1, 5, 64):
+        assert {r.id: r.score for r in graph.betweenness(n, e, batch=batch).collect()} == pytest.approx(want)
+    assert graph.betweenness(n, e.limit(0)).agg(F.max("score")).first()[0] == 0
+    assert inspect.signature(graph.betweenness).parameters["max_edges"].default >= 2_000_000
