@@ -10,11 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Bucketizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 
-from flockscope.functions import scalars as S
 from flockscope.operators import graph
+from flockscope.operators.neighbours import usable
 from flockscope.sources.shared import settle
 
 # Words that are no keywords.
@@ -61,26 +61,44 @@ def similar_pairs(vectors: DataFrame, least: float, method: str = "exact", table
     among which each a's most similar b is.
 
     ``exact`` multiplies blocks of vectors, of which there are as many as the vectors ask
-    for, each pair of blocks once.  ``lsh`` compares only what random projections put
-    together and can miss pairs.
+    for, each pair of blocks once.  ``lsh`` makes blocks in the order of the buckets that
+    random projections put vectors in and multiplies those that have a bucket of any
+    projection in common: it can miss pairs, but none that a projection puts together.
     """
-    if method == "lsh":
-        dense = vectors.select("id", "v", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("f"))
-        model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(dense)
-        near = model.approxSimilarityJoin(dense, dense, (2 - 2 * least) ** 0.5 + 1e-6, "d").filter("datasetA.id > datasetB.id")
-        pairs = near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), F.col("datasetA.v").alias("va"), F.col("datasetB.v").alias("vb"))
-        return pairs.withColumn("score", S.cosine(F.col("va"), F.col("vb"))).filter(F.col("score") >= least).select("a", "b", "score")
     v = vectors.filter("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    if method == "lsh":
+        v = settle(usable(v, "cosine"))
     n = v.count()
     blocks = max(1, -(-n // BLOCK), min(6, n // 256))
-    packed = v.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("k").applyInPandas(_pack, "k int, ids array<long>, data binary")
-    # each block goes to the tiles that it is a side of
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = settle(packed).withColumn("o", other).withColumn("tile", F.concat_ws(":", F.least("k", "o"), F.greatest("k", "o"))).select("tile", "k", "ids", "data")
+    if method == "lsh" and blocks > 1:
+        dealt = _bucket_tiles(v, blocks, tables, bucket)
+    else:
+        packed = v.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("k").applyInPandas(_pack, "k int, ids array<long>, data binary")
+        # each block goes to the tiles that it is a side of
+        other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        dealt = settle(packed).withColumn("o", other).withColumn("tile", F.concat_ws(":", F.least("k", "o"), F.greatest("k", "o"))).select("tile", "k", "ids", "data")
     tiles = min(blocks * (blocks + 1) // 2, 1 << 16)
     return dealt.repartition(tiles, "tile").groupBy("tile").applyInPandas(lambda pdf: _tile(pdf, least, best), "a long, b long, score double")
 
 
+def _bucket_tiles(v: DataFrame, blocks: int, tables: int, bucket: float) -> DataFrame:
+    """Rows of ``_pack`` with the tiles that they are a side of, for pairs of blocks that have a bucket in common."""
+    dense = v.select("id", "v", array_to_vector("v").alias("f"))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(dense)
+    hashed = model.transform(dense).select("id", "v", F.transform("h", lambda x: vector_to_array(x)[0].cast("long")).alias("h"))
+    # the first projection orders most; a bucket that holds more than a block is cut by a hash of ids
+    code = sum((F.col("h")[t] * F.lit(2.0 ** (-6 * t)) for t in range(tables)), F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.lit(2.0 ** (-6 * tables - 20)))
+    hashed = settle(hashed.withColumn("code", code))
+    cuts = sorted(set(hashed.approxQuantile("code", [i / blocks for i in range(1, blocks)], 0.1 / blocks)))  # one for each block
+    placed = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="code", outputCol="place").transform(hashed)
+    placed = placed.withColumn("k", F.col("place").cast("int"))
+    packed = settle(placed.groupBy("k").applyInPandas(_pack, "k int, ids array<long>, data binary"))
+    held = settle(placed.select("k", F.posexplode("h").alias("t", "b")).distinct())
+    met = held.join(held.withColumnRenamed("k", "o"), ["t", "b"]).filter("k <= o").select("k", "o").distinct()
+    sides = met.withColumn("tile", F.concat_ws(":", "k", "o")).select("tile", F.explode(F.array_distinct(F.array("k", "o"))).alias("k"))
+    return sides.join(packed, "k").select("tile", "k", "ids", "data")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95, method: str = "exact") -> DataFrame:
     """Each vector's most similar earlier one, the first of equals."""
     best = F.max(F.struct("score", (-F.col("b")).alias("n")))

@@ -102,6 +102,29 @@ def test_near_duplicates_by_projection_find_most(spark):
     assert len(set(exact.items()) & set(lsh.items())) >= 0.9 * len(exact)
 
 
+def test_buckets_in_blocks_miss_no_pair_of_a_bucket(spark, monkeypatch):
+    """Vectors of any length, copies and vectors without a direction, in blocks cut within buckets; no vectors at all."""
+    monkeypatch.setattr(narratives, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 8)) * rng.uniform(0.1, 50, (200, 1))
+    x[150:] = 3 * x[7]
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, [0.0] * 8), (901, [float("nan")] * 8), (902, None)], "id long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i in range(200) for j in range(i) if u[i] @ u[j] >= 0.7}
+    assert {(r.a, r.b) for r in narratives.similar_pairs(d, 0.7, "lsh").collect()} == want
+    narrow = {(r.a, r.b) for r in narratives.similar_pairs(d, 0.7, "lsh", tables=1, bucket=0.05).collect()}
+    assert narrow <= want and {(i, j) for i in range(151, 200) for j in range(150, i)} <= narrow
+    assert narratives.near_duplicates(d.limit(0), 0.7, "lsh").count() == 0
+
+
+def test_few_bucket_blocks_meet_where_projections_are_narrow(spark, monkeypatch):
+    monkeypatch.setattr(narratives, "BLOCK", 40)
+    x = np.random.default_rng(7).standard_normal((400, 8))
+    v = narratives.usable(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>"), "cosine")
+    wide, narrow = (narratives._bucket_tiles(v, 10, 1, b).select("tile").distinct().count() for b in (4.0, 0.05))
+    assert narrow < 30 < wide <= 55
+
+
 def test_idle_trigger_runs_once_and_queues():
     calls, gate = [], threading.Event()
 
