@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,22 +115,27 @@ def _contexts(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        kind = pa.struct([("fp", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
+        kinds = {"fp": np.int64, "c1": np.int64, "c2": np.int64, "first": np.int64, "n": np.int32, "at": np.int32}
         for b in batches:
-            whole, shared = texts.as_bytes(b.column("text")), b.column("shared").to_pylist()
+            whole, shared = texts.as_bytes(b.column("text")), b.column("shared")
+            own, ends = shared.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(shared).to_numpy(zero_copy_only=False))
+            begin = np.append(0, ends[:-1])
             for lo, hi in texts.slices(whole):
-                rows = []
-                for text, own in zip(whole[lo:hi], shared[lo:hi], strict=True):
+                parts, counts = [], []
+                for i in range(lo, hi):
+                    text = whole[i]
                     fp, first, n, place = anchors(text, window, gram)
-                    hit = np.flatnonzero(np.isin(fp, np.array(own, np.int64)))
-                    runs = []
-                    for i in hit.tolist():
-                        a, z = int(first[i]), int(first[i] + n[i] - 1 + window)
-                        digest = np.frombuffer(xxhash.xxh3_128_digest(text[a:z]), np.int64)
-                        runs.append({"fp": int(fp[i]), "c1": int(digest[0]), "c2": int(digest[1]), "first": a, "n": int(n[i]), "at": int(place[i] - a)})
-                    rows.append(runs)
+                    hit = np.flatnonzero(np.isin(fp, own[begin[i] : ends[i]]))
+                    fp, first, n, place = fp[hit], first[hit], n[hit], place[hit]
+                    digests = b"".join([xxhash.xxh3_128_digest(text[a:z]) for a, z in zip(first.tolist(), (first + n - 1 + window).tolist(), strict=True)])
+                    c1, c2 = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+                    parts.append((fp, c1, c2, first, n, place - first))
+                    counts.append(len(hit))
+                flat = [np.concatenate(c).astype(t) for c, t in zip(zip(*parts, strict=True), kinds.values(), strict=True)]
+                structs = pa.StructArray.from_arrays([pa.array(c) for c in flat], list(kinds))
+                runs = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), structs)
                 cut = lambda c: b.column(c).slice(lo, hi - lo)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([cut("key"), cut("rows"), cut("text"), pa.array(rows, pa.list_(kind))], ["key", "rows", "text", "runs"])
+                yield pa.RecordBatch.from_arrays([cut("key"), cut("rows"), cut("text"), runs], ["key", "rows", "text", "runs"])
 
     return run
 
@@ -182,20 +188,25 @@ class _Contexts:
         self.size, self.wide = 0, False
 
     def add(self, rows: pd.DataFrame) -> None:
-        """Rows of one shard; a context that came with another shard already counts once, so that it does not repeat itself."""
-        names = list(zip(rows["key"].tolist(), rows["first"].tolist(), strict=True))
-        rows = rows[[x not in self.seen for x in names]]
+        """Rows of one shard or several; a context that came with another shard already counts once, so that it does not repeat itself."""
+        key, first, n, times = (rows[c].to_numpy() for c in ("key", "first", "n", "times"))
+        names = list(zip(key.tolist(), first.tolist(), strict=True))
+        fresh = ~rows.duplicated(["key", "first"]).to_numpy()
+        if self.seen:
+            fresh &= [x not in self.seen for x in names]
         if self.size <= self.limit:  # what goes beyond is all of one shard
             self.seen.update(names)
-        if not len(rows):
+        at = np.flatnonzero(fresh)
+        if not len(at):
             return
-        data = b"\0".join([*rows["data"], b""])
-        self.wide |= b"\xff" in data
+        data = rows["data"].tolist()
+        kept = [data[i] for i in at.tolist()]
+        joined = b"\0".join([*kept, b""])
+        self.wide |= b"\xff" in joined
         with open(self.path, "ab") as f:
-            f.write(data)
-        ends = np.cumsum(rows["data"].map(len).to_numpy(np.int64) + 1)
-        self.parts.append(pd.DataFrame({"key": rows["key"].to_numpy(), "first": rows["first"].to_numpy(), "n": rows["n"].to_numpy(np.int64), "once": rows["times"].to_numpy() == 1,
-                                        "start": self.size + np.append(0, ends[:-1])}))
+            f.write(joined)
+        ends = np.cumsum([len(d) + 1 for d in kept], dtype=np.int64)
+        self.parts.append(pd.DataFrame({"key": key[at], "first": first[at], "n": n[at].astype(np.int64), "once": times[at] == 1, "start": self.size + np.append(0, ends[:-1])}))
         self.size += int(ends[-1])
 
     def repeats(self, window: int) -> Iterator[pa.RecordBatch]:
@@ -248,17 +259,26 @@ def _sort_shards(batches: Iterator[pa.RecordBatch], window: int, root: str, limi
     """Repeated windows of the shards of a partition, whose rows come shard by shard: small ones are sorted together, large ones alone or with a few small ones."""
     held, last = None, None
     for b in batches:
+        if not b.num_rows:
+            continue
         pdf = b.to_pandas()
-        cuts = np.flatnonzero((pdf["shard"] != pdf["shard"].shift()).to_numpy())
-        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pdf)], strict=True):
-            rows = pdf.iloc[lo:hi]
-            if held is not None and held.size > limit and rows["shard"].iloc[0] != last:
+        shards = pdf["shard"].tolist()
+        # where shards begin, and how many bytes come before
+        cuts = np.array([i for i in range(1, len(shards)) if shards[i] != shards[i - 1]] + [len(shards)], np.int64)
+        before = np.append(0, np.cumsum(pdf["data"].map(len).to_numpy(np.int64) + 1))
+        lo = 0
+        while lo < len(shards):
+            if held is not None and held.size > limit and shards[lo] != last:
                 yield from held.repeats(window)
                 held = None
             if held is None:
                 held = _Contexts(root, limit)
-            held.add(rows)
-            last = rows["shard"].iloc[0]
+            # whole shards until there is enough, the first of them whatever its size
+            c = int(np.searchsorted(cuts, lo, "right"))
+            c = max(c, int(np.searchsorted(before[cuts], before[lo] + limit - held.size, "right")))
+            hi = int(cuts[min(c, len(cuts) - 1)])
+            held.add(pdf.iloc[lo:hi])
+            last, lo = shards[hi - 1], hi
     if held is not None:
         yield from held.repeats(window)
 

@@ -649,3 +649,30 @@ def test_substrings_of_bytes_that_are_no_text(spark):
     for i, t in texts.items():
         want = {j for j in range(len(t) - 199) if seen[t[j : j + 200]] > 1}
         assert {j for r in got if r["key"] == i for j in range(r["first"], r["end"])} == want
+
+
+def test_small_shards_are_added_together(tmp_path, monkeypatch):
+    """Shards of two or three contexts, one that goes over batches, and one that holds another's contexts again."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = []
+    for s in range(300):
+        core = words(rng, 120).encode()[:230]
+        for i in range(2 + s % 2):
+            data = core[: 215 + 5 * i] + rng.randbytes(40).hex().encode()
+            rows.append({"shard": b"%06d" % s, "key": 10 * s + i, "first": 7, "n": len(data) - 199, "at": 100, "times": 1 + (s % 50 == 49), "data": data})
+    rows += [r | {"shard": b"%06d" % 300} for r in rows[:2]]
+    batches = pa.Table.from_pandas(pd.DataFrame(rows)).to_batches(max_chunksize=251)
+    calls, add = [], substring_dedup._Contexts.add
+    monkeypatch.setattr(substring_dedup._Contexts, "add", lambda self, r: (calls.append(len(r)), add(self, r))[1])
+    for limit, most in ((1 << 20, len(batches)), (20_000, 24), (0, 320)):
+        calls.clear()
+        got = {}
+        for b in substring_dedup._sort_shards(iter(batches), 200, str(tmp_path), limit):
+            for r in b.to_pylist():
+                got.setdefault(r["key"], set()).update(range(r["first"] - 7, r["end"] - 7))
+        seen = Counter(r["data"][j : j + 200] for r in rows[:-2] for j in range(r["n"]))
+        want = {r["key"]: w for r in rows if r["times"] == 1 and (w := {j for j in range(r["n"]) if seen[r["data"][j : j + 200]] > 1})}
+        assert got == want and len(want) > 600 and sum(calls) == len(rows) and len(calls) <= most
